@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -75,3 +78,19 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have its folder on their path."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get("graphloam.shipped", None):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloam-code-"), "graphloam.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("graphloam.shipped", "true")
