@@ -162,3 +162,154 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if (up == parent).all():
                 break
             parent = up
+
+
+BLOCK = 1 << 20
+_BASE = U64(0x9E3779B97F4A7C15)
+_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_rng = np.random.default_rng(7)
+_BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[0x80:] = True
+for _c in range(128):
+    _IS_WORD[_c] = chr(_c).isalnum()
+    if chr(_c).isupper():
+        _BYTE_VALUE[_c] = _BYTE_VALUE[ord(chr(_c).lower())]
+_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = max(n, BLOCK + 1)
+        for i, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(size, base, U64)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each [start, end), ASCII case folded; one prefix sum serves all ranges."""
+    forward, back = _power_tables(len(raw) + 1)
+    h = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_BYTE_VALUE[raw] * forward[: len(raw)], out=h[1:])
+    return mix((h[ends] - h[starts]) * back[starts] + (ends - starts).astype(U64))
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of letters and digits, in order; bytes are taken block by block, so memory doesn't follow a row's length."""
+    n = len(raw)
+    hashes, rows, at = [], [], 0
+    while at < n:
+        end = min(n, at + BLOCK)
+        while end < n and _IS_WORD[raw[end - 1]] and _IS_WORD[raw[end]] and not offsets[np.searchsorted(offsets, end)] == end:
+            back = np.flatnonzero(~_IS_WORD[raw[at:end]])
+            if len(back):
+                end = at + int(back[-1]) + 1
+            else:
+                end = min(n, end + BLOCK)
+        part = raw[at:end]
+        inside = _IS_WORD[part]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        edges = offsets[(offsets > at) & (offsets < end)] - at
+        first[edges] = inside[edges]
+        last[edges - 1] = inside[edges - 1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        hashes.append(range_hashes(part, s, e))
+        rows.append(np.searchsorted(offsets, s + at, side="right") - 1)
+        at = end
+    if not hashes:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+SHINGLE_BITS = 48
+
+
+def weighted_shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, row, count): the distinct k-word shingles of each row and how often each occurs, by row and element.
+
+    A row of one to k-1 words has a single element made of all of them; a row without words has none. At most 65,535 rows.
+    """
+    h, row = words(raw, offsets)
+    if not len(h):
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0)
+    rows = len(offsets) - 1
+    m = len(h) - k + 1
+    el, at = np.zeros(0, U64), np.zeros(0, np.int64)
+    if m > 0:
+        whole = row[:m] == row[k - 1 :]
+        e = h[:m].copy()
+        for j in range(1, k):
+            e = mix(e) + h[j : j + m]
+        el, at = mix(e[whole]), row[:m][whole]
+    n = np.bincount(row, minlength=rows)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        begin = np.searchsorted(row, short)
+        e = h[begin].copy()
+        for j in range(1, k - 1):
+            more = n[short] > j
+            e[more] = mix(e[more]) + h[begin[more] + j]
+        el, at = np.concatenate((el, mix(e + U64(3)))), np.concatenate((at, short))
+    key = np.sort((at.astype(U64) << U64(SHINGLE_BITS)) | (el >> U64(64 - SHINGLE_BITS)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    where = np.flatnonzero(new)
+    count = np.diff(np.append(where, len(key)))
+    key = key[where]
+    return key & U64((1 << SHINGLE_BITS) - 1), (key >> U64(SHINGLE_BITS)).astype(np.int64), count.astype(np.float64)
+
+
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+
+
+def prob_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, registers: int) -> np.ndarray:
+    """rows x registers signature: the element whose Poisson process of rate ``weight`` first reaches the register.
+
+    Each element's arrivals come in order of time, each at a random register. An element ends as soon as its
+    arrival is later than every register's present time in its row: no later one could win. The share of equal
+    registers of two rows estimates their probability Jaccard. A row without elements keeps the maximum.
+    """
+    top = U64(0xFFFFFFFFFFFFFFFF)
+    time, who = np.full(rows * registers, np.inf), np.full(rows * registers, top, U64)
+    limit = np.full(rows, np.inf)
+    e, r, w, x, t = element, row, weight, np.zeros(len(element)), 0
+    shift = U64(64 - (registers.bit_length() - 1))
+    while len(e):
+        f = int(np.clip((1 << 15) // len(e), 1, 32))
+        s = mix(e[:, None] * _GOLDEN + (np.arange(t, t + f, dtype=U64) + U64(1)) * U64(0xD1B54A32D192ED03))
+        u = ((s >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        arrive = np.cumsum(-np.log(u), axis=1) / w[:, None] + x[:, None]
+        ok = arrive < limit[r][:, None]
+        i, j = np.nonzero(ok)
+        if len(i):
+            a = arrive[i, j]
+            slot = r[i] * registers + (mix(s[i, j] ^ _GOLDEN) >> shift).astype(np.int64)
+            np.minimum.at(time, slot, a)
+            won = time[slot] == a
+            who[slot[won]] = e[i[won]]
+            touched = np.unique(r[i])
+            limit[touched] = time.reshape(rows, registers)[touched].max(axis=1)
+        x = arrive[:, -1]
+        on = x < limit[r]
+        e, r, w, x, t = e[on], r[on], w[on], x[on], t + f
+    return who.reshape(rows, registers)
+
+
+def probability_jaccard(e1: np.ndarray, w1: np.ndarray, e2: np.ndarray, w2: np.ndarray) -> float:
+    """Exact probability Jaccard of two weighted sets given as sorted elements; 0 where either is empty."""
+    common, a, b = np.intersect1d(e1, e2, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0
+    x, y = w1[a], w2[b]
+    only1, only2 = w1.sum() - x.sum(), w2.sum() - y.sum()
+    ratio = x / y
+    order = np.argsort(ratio, kind="stable")
+    x, y, ratio = x[order], y[order], ratio[order]
+    below = np.concatenate(([0.0], np.cumsum(y)))[np.searchsorted(ratio, ratio, side="left")]
+    above = x.sum() - np.concatenate(([0.0], np.cumsum(x)))[np.searchsorted(ratio, ratio, side="left")]
+    return float((1.0 / ((above + only1) / x + (below + only2) / y)).sum())

@@ -29,8 +29,12 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.ends_mark, self.ends_line, self.begins_white = (np.zeros(len(self.length), bool) for _ in range(3))
         for token, i in ranks.items():
             self.length[i] = len(token)
+            self.ends_mark[i] = token[-1:] in (b".", b"!", b"?")
+            self.ends_line[i] = token[-1:] == b"\n"
+            self.begins_white[i] = token[:1] in (b" ", b"\t", b"\r", b"\n")
         self.known: dict[str, bytes | None] = {}
 
     def _learn(self, pieces: list[str]) -> None:
