@@ -80,8 +80,13 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have its folder on their path."""
+    """Make this package importable in Python workers that don't have its folder on their path, and keep their Arrow batches small."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(8 << 20))
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get("graphloam.shipped", None):
