@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix
+from .kernels import U64
 
 BLOBS = "pid int, keys binary, nodes binary"
 _FLUSH = 1 << 19
@@ -67,17 +67,19 @@ def _grouped(batches):
         return
     start = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
     size = np.diff(np.append(start, len(key)))
-    group = mix(np.add.reduceat(mix(node.view(U64)), start) + size.astype(U64))
-    _, first = np.unique(group, return_index=True)
-    once = np.zeros(len(group), bool)
-    once[first] = True
-    once &= size > 1
-    rows = np.repeat(once, size)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[rows].view(np.int64)), pa.array(node[rows])], ["grp", "node"])
+    rows = np.repeat(size > 1, size)
+    least, node = np.repeat(node[start], size)[rows], node[rows]
+    order = np.lexsort((node, least))
+    least, node = least[order], node[order]
+    new = np.append(True, (least[1:] != least[:-1]) | (node[1:] != node[:-1]))[: len(node)]
+    yield pa.RecordBatch.from_arrays([pa.array(least[new]), pa.array(node[new])], ["grp", "node"])
 
 
 def candidate_groups(blobs: DataFrame) -> DataFrame:
-    """(grp, node): every set of two or more distinct nodes that share a band key, each set once."""
+    """(grp, node): every node that shares a band key with others, and the least node with that key, itself included.
+
+    All buckets with the same least node make one group, so that copies that meet in many bands are compared once.
+    """
     return blobs.repartition("pid").mapInArrow(_grouped, "grp bigint, node bigint").dropDuplicates(["grp", "node"])
 
 
@@ -106,6 +108,8 @@ def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def link(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Edges that join the items just as all similar pairs would; a pair already joined isn't compared."""
+    if n == 2:
+        return [(0, 1)] if similar(0, np.array([1]))[0] else []
     comp, edges = np.arange(n), []
     for i in range(n - 1):
         js = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1

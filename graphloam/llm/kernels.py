@@ -135,13 +135,25 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sorted_sets(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each row, in order, and n+1 offsets."""
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    h, r = h[new], r[new]
-    return h, np.concatenate(([0], np.cumsum(np.bincount(r, minlength=rows))))
+    """Distinct hashes (48 bits of them) of each row, in order, and n+1 offsets; at most 65,535 rows."""
+    key = np.sort((row.astype(U64) << U64(48)) | (hashes >> U64(16)))
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    return key & U64((1 << 48) - 1), np.searchsorted(key, np.arange(rows + 1, dtype=U64) << U64(48))
+
+
+_SEEDS = np.random.default_rng(99).integers(1, 1 << 63, 1024, dtype=np.uint64) | U64(1)
+
+
+def independent_minhash(hashes: np.ndarray, offsets: np.ndarray, functions: int) -> np.ndarray:
+    """rows x functions minima of the rows' sets [offsets[i], offsets[i+1]), none of them empty."""
+    out = np.empty((len(offsets) - 1, functions), U64)
+    for f in range(functions):
+        h = hashes * _SEEDS[f]
+        h ^= h >> U64(32)
+        h *= _SEEDS[-1 - f]
+        out[:, f] = np.minimum.reduceat(h, offsets[:-1])
+    return out
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -194,7 +194,7 @@ def _score(batches, model: Model, text_at: int, names: list[str]):
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``predicted``, ``confidence``, ``known_share`` and ``accepted``.
 
-    ``predicted`` is null where the model rejects: no subwords (null, empty, symbols only), a calibrated probability
+    ``predicted`` is null where the model rejects: no subwords (null, empty, only ASCII symbols and digits), a calibrated probability
     below the model's bound, or too few subwords that training has seen. Without a model every row is rejected. Ties go to the
     first language in order. Repeated rows are scored alike; an empty table gives no rows. Columns pass through whatever
     their names; the new ones take leading underscores where the name is taken.

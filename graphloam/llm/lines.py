@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 from ..session import drop_table, fresh_names, ship_package, write_table
 from .banding import BLOBS, BlobWriter, bitmap, blob_parts, candidate_groups, maybe_in, verified_edges
 from .components import components
-from .kernels import band_keys, buffers, codepoints, line_shingles, one_permutation, slices, sorted_sets
+from .kernels import U64, band_keys, buffers, codepoints, independent_minhash, line_shingles, one_permutation, slices, sorted_sets
+
+_SLICE = 1 << 19
+_ROWS = 1 << 15
 
 
 def _new_lines(raw: np.ndarray, offsets: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) in bytes of the lines that aren't blank and aren't in ``seen``; the hash is Spark's xxhash64."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     cut = np.flatnonzero(raw == 10)
     starts = np.unique(np.concatenate((offsets[:-1], cut + 1)))
     starts = starts[starts < len(raw)]
@@ -42,19 +48,40 @@ def _points(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return cp, pos[: len(s)], pos[len(s) :]
 
 
+def signature_keys(sets: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, their band keys), of large and of small sets of shingles.
+
+    One permutation serves sets that fill its bins well; smaller ones get independent functions, since filled-up bins
+    would make unlike ones collide. Sets near the limit get both, so that sets of a similarity of 0.8 always share a kind.
+    """
+    n = np.diff(offsets)
+    bins = 1 << (bands * rows - 1).bit_length()
+    large, small = np.flatnonzero(n >= 1.6 * bins), np.flatnonzero((n > 0) & (n < 2 * bins))
+    for which, kind in ((large, 0), (small, 1)):
+        if len(which):
+            size = n[which]
+            to = np.concatenate(([0], np.cumsum(size)))
+            h = sets[np.arange(to[-1]) + np.repeat(offsets[which] - to[:-1], size)]
+            if kind:
+                signature = independent_minhash(h, to, bands * rows)
+            else:
+                signature = one_permutation(h << U64(16), np.repeat(np.arange(len(which)), size), len(which), bins)[:, : bands * rows]
+            yield which, band_keys(signature, bands) ^ U64(kind)
+
+
 def _keys(batches, k: int, bands: int, rows: int, parts: int):
     seen: set[int] = set()
     out = BlobWriter(parts)
-    bins = 1 << (bands * rows - 1).bit_length()
     for b in batches:
         raw, offsets = buffers(b.column(0))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE):
             part = raw[offsets[i] : offsets[j]]
             h, s, e = _new_lines(part, offsets[i : j + 1] - offsets[i], seen)
-            if len(h):
-                shingles, line = line_shingles(*_points(part, s, e), k)
-                signature = one_permutation(shingles, line, len(h), bins)
-                yield from out.add(band_keys(signature[:, : bands * rows], bands), h)
+            for a in range(0, len(h), _ROWS):
+                z = slice(a, a + _ROWS)
+                shingles, line = line_shingles(*_points(part, s[z], e[z]), k)
+                for which, keys in signature_keys(*sorted_sets(shingles, line, len(h[z])), bands, rows):
+                    yield from out.add(keys, h[z][which])
     yield from out.flush()
 
 
@@ -62,7 +89,7 @@ def _texts(batches, bits: np.ndarray):
     seen: set[int] = set()
     for b in batches:
         raw, offsets = buffers(b.column(0))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE):
             part = raw[offsets[i] : offsets[j]]
             h, s, e = _new_lines(part, offsets[i : j + 1] - offsets[i], seen)
             may = np.flatnonzero(maybe_in(bits, h))
@@ -75,14 +102,25 @@ def _texts(batches, bits: np.ndarray):
 def shingle_sets(column, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's lower-cased character shingles."""
     raw, offsets = buffers(column)
-    cp, s, e = _points(raw, offsets[:-1], offsets[1:])
-    h, at = sorted_sets(*line_shingles(cp, s, e, k), len(offsets) - 1)
-    return [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    out = []
+    for i, j in slices(offsets, _SLICE):
+        part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for a in range(0, j - i, _ROWS):
+            z = off[a : min(a + _ROWS, j - i) + 1]
+            h, at = sorted_sets(*line_shingles(*_points(part, z[:-1], z[1:]), k), len(z) - 1)
+            out += [h[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
 
 
 def jaccard_at_least(items: list[np.ndarray], i: int, js: np.ndarray, threshold: float) -> np.ndarray:
     """Which of ``js`` have a Jaccard similarity with ``i`` of at least ``threshold``; exact."""
     a = items[i]
+    if len(js) == 1:
+        b = items[js[0]]
+        if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
+            return np.zeros(1, bool)
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return np.array([common >= threshold * (len(a) + len(b) - common)])
     n = np.array([len(items[j]) for j in js])
     may = np.minimum(n, len(a)) >= threshold * np.maximum(n, len(a))
     out = np.zeros(len(js), bool)
@@ -97,7 +135,7 @@ def jaccard_at_least(items: list[np.ndarray], i: int, js: np.ndarray, threshold:
     return out
 
 
-def similar_lines(texts: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 10, rows: int = 5) -> DataFrame:
+def similar_lines(texts: DataFrame, threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5) -> DataFrame:
     """(node, root): distinct lines, as xxhash64 of the line, and the least line of their component."""
     parts = blob_parts(texts)
     blobs = texts.mapInArrow(partial(_keys, k=k, bands=bands, rows=rows, parts=parts), BLOBS)
@@ -109,7 +147,7 @@ def similar_lines(texts: DataFrame, threshold: float = 0.8, k: int = 5, bands: i
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, bands: int = 10, rows: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5) -> DataFrame:
     """The rows of ``docs`` with each text's repeated lines taken out, and the counts ``n_lines`` and ``n_dropped``.
 
     Lines are joined where the Jaccard similarity of their sets of ``k`` lower-cased characters is at least

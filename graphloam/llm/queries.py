@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import langid, lines, mixing, near, packing, quality, store
+from ..session import scratch_path
+from . import ann, langid, lines, mixing, near, packing, pii, quality, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,13 @@ def op5_near_dedup(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_salvage(spark, sf_dir):
+    """Pages go into archives in the shared folder, some of them damaged, and are read back; ``file`` and ``offset`` depend on how the table was split."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path, damage=warc.damage_some)
+    return warc.read_warc(spark, path)
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -43,9 +55,24 @@ def op9_language_id(spark, sf_dir):
     return found.select("doc_id", "lang", "predicted", "confidence", "known_share", "accepted")
 
 
+def op10_pii(spark, sf_dir):
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_content_store, op2_quality_rules, op4_line_dedup, op5_near_dedup, op7_packing, op8_mixing, op9_language_id)
+    for f in (
+        op1_content_store,
+        op2_quality_rules,
+        op3_nearest_neighbours,
+        op4_line_dedup,
+        op5_near_dedup,
+        op6_warc_salvage,
+        op7_packing,
+        op8_mixing,
+        op9_language_id,
+        op10_pii,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE = {"op2_quality_rules": quality.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

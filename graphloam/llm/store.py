@@ -138,7 +138,7 @@ def chunk_store(
 
 
 def reconstruct(store: DataFrame, vocab: str = VOCAB) -> DataFrame:
-    """(doc_id, text, verified) of every recipe, put together from the chunks and checked against digests and Merkle root."""
+    """(doc_id, text, verified) of every recipe, put together from the chunks and checked against digests and Merkle root; what fails has no text."""
     recipes = store.where("kind = 'recipe' and key is not null").select(F.xxhash64("key", F.monotonically_increasing_id()).alias("r"), "doc_id", "key", "data")
     pieces = recipes.select("r", F.posexplode(F.expr("transform(sequence(0, cast(length(data) / 32 as int)), i -> substring(data, i * 32 + 1, 32))")).alias("n", "digest")).where("length(digest) = 32")
     chunks = store.where("kind = 'chunk'").select(F.col("key").alias("digest"), F.col("data").alias("ids"))
@@ -153,7 +153,7 @@ def reconstruct(store: DataFrame, vocab: str = VOCAB) -> DataFrame:
                 parts = row["parts"] or []
                 good = all(p["ids"] is not None and hashlib.sha256(p["ids"]).digest() == p["digest"] for p in parts) and merkle_root([p["digest"] for p in parts]) == row["key"]
                 ids = np.frombuffer(b"".join(p["ids"] or b"" for p in parts), width)
-                out.append((row["doc_id"], tok.encoding.decode(ids.tolist()), good))
+                out.append((row["doc_id"], tok.encoding.decode(ids.tolist()) if good else None, good))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_()))], ["doc_id", "text", "verified"])
 
     return recipes.join(whole, "r", "left").select("doc_id", "key", "parts").mapInArrow(decode, "doc_id bigint, text string, verified boolean")

@@ -1,0 +1,490 @@
+"""Each operator against brute force, an exact round trip or held-out data, and on awkward rows."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from graphloam.llm import ann, banding, components, kernels, langid, lines, mixing, near, packing, pii, quality, store, warc
+from graphloam.llm.tokens import tokenizer
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, `odd.name` int, n_lines int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    long = " ".join(f"word{i % 5000} goes." for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, "   \n \n"), (None, "Some text that has no id. It is short."), (4, "§§ %% ##"), (5, long), (6, "a"), (7, "Twice the same row, twice the same text."), (7, "Twice the same row, twice the same text."), (7, "Same id but another text, it stays alone."), (8, "naïve café — “quotes” 𝔘𝔫𝔦 \t tab\r\nline")]
+    return spark.createDataFrame([(i, t, None if i == 2 else "en", None if i == 3 else "s", None, "x", 1, 2) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def small_docs(spark, seed=0, n=60):
+    """Documents of random words with edited and exact copies of some."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(400)]
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    for _ in range(n // 2):
+        words = rng.choice(texts[:n]).split(" ")
+        for _ in range(rng.randint(0, max(1, len(words) // 12))):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+
+
+def closure(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# 1
+
+
+def test_store_round_trip(spark, docs):
+    s = store.chunk_store(docs.repartition(3)).cache()
+    back = {r.doc_id: r for r in store.reconstruct(s).collect()}
+    for r in docs.collect():
+        assert back[r.doc_id].text == r.text and back[r.doc_id].verified
+    chunks = s.where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count()
+
+
+def test_store_detects_damage(spark, docs):
+    s = store.chunk_store(docs.limit(20)).cache()
+    bad = s.withColumn("data", F.when(F.col("kind") == "chunk", F.expr("concat(unhex('FFFF'), substring(data, 3))")).otherwise(F.col("data")))
+    assert not any(r.verified for r in store.reconstruct(bad).collect() if r.text)
+
+
+def test_store_awkward(spark, awkward, empty):
+    s = store.chunk_store(awkward).cache()
+    recipes = s.where("kind = 'recipe'").collect()
+    assert len(recipes) == 11 and sum(r.key is None for r in recipes) == 1
+    texts = {(r.doc_id, r.text) for r in store.reconstruct(s).collect()}
+    assert texts == {(r.doc_id, r.text) for r in awkward.where("text is not null").collect()}
+    assert store.chunk_store(empty).count() == 0
+
+
+def test_chunks_follow_content():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 50_000, 20_000)
+    a = store.chunk_ends(ids, np.array([0, len(ids)]), 16, 7, 32, 512)[0]
+    shifted = np.concatenate(([5], ids))
+    b = store.chunk_ends(shifted, np.array([0, len(shifted)]), 16, 7, 32, 512)[0]
+    assert len(set(a) & {x - 1 for x in b}) > 0.9 * len(a)
+    assert all(y - x <= 512 for x, y in zip([0, *a], a)) and a[-1] == len(ids)
+
+
+def test_tokenizer_is_exact(docs):
+    tok = tokenizer()
+    texts = [r.text for r in docs.limit(60).collect()] + ["", " ", "a  b", "x \n\n y", "tab\tand 12 34's", "é ü"]
+    for t, raw in zip(texts, tok.encode_bytes(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encoding.encode_ordinary(t)
+
+
+# 2
+
+
+def test_quality_awkward(spark, awkward, empty):
+    rows = quality.quality(awkward).collect()
+    assert len(rows) == 11 and quality.quality(empty).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert by[1].failed == "no_text" and not by[1].keep and by[1].n_words is None
+    assert by[2].n_words == 0 and "few_words" in by[2].failed
+    assert "symbols" in by[4].failed
+
+
+def test_quality_has_no_python(docs):
+    plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+# 3
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 16))
+    x = (centres[rng.integers(0, 30, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    found = {}
+    for r in ann.neighbours(df, k=5, branch=4, leaf_rows=40, sample=100).collect():
+        found.setdefault(r.id, set()).add(r.neighbour)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -9)
+    exact = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(found[i] & set(exact[i].tolist())) / 5 for i in range(len(x))]) >= 0.93
+    assert 8 in found[7] and all(len(v) == 5 for v in found.values())
+
+
+def test_neighbours_awkward(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, None, 1), (4, [0.0, 0.0], 1), (5, [1.0], 1), (None, [1.0, 1.0], 1), (6, [float("nan"), 1.0], 0), (7, [None, 1.0], 0), (1, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank int")
+    got = {(r.id, r.neighbour) for r in ann.neighbours(df).collect()}
+    assert got == {(1, 2), (2, 1)}
+    assert ann.neighbours(df.limit(0)).count() == 0
+
+
+def test_best_breaks_ties_by_id():
+    x = np.ones((6, 2), np.float32)
+    n, _ = ann._best(x, np.array([9, 3, 5, 1, 7, 2]), x[:1], 2, np.array([9]))
+    assert n[0][:2].tolist() == [1, 2]
+
+
+# 4
+
+
+def test_lines_against_brute_force(spark):
+    texts, df = small_docs(spark, 3, 80)
+    every = sorted({x for t in texts for x in t.split("\n")})
+    sets = [set(s.tolist()) for s in lines.shingle_sets(pa.array(every), 6)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(every)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = closure(len(every), pairs)
+    group = {x: comp[i] for i, x in enumerate(every)}
+    seen, want = set(), {}
+    for d, t in enumerate(texts):
+        first = []
+        for x in t.split("\n"):
+            if group[x] not in seen:
+                first.append(x)
+            seen.add(group[x])
+        want[d] = "\n".join(first)
+    got = {r.doc_id: r.text for r in lines.line_dedup(df).collect()}
+    assert len(pairs) > 20 and np.mean([got[d] == want[d] for d in want]) >= 0.97
+
+
+def test_lines_awkward(spark, awkward, empty):
+    out = lines.line_dedup(awkward)
+    assert out.columns == [*awkward.columns, "_n_lines", "n_dropped"]
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[1][0].text is None and by[1][0].n_dropped is None and by[2][0].text == "" and by[3][0].text == "   \n \n"
+    assert sorted(r.text for r in by[7]) == ["Same id but another text, it stays alone."] + ["Twice the same row, twice the same text."] * 2
+    assert lines.line_dedup(empty).count() == 0
+
+
+def test_minhash_estimates():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(1 << 47, 200, replace=False).astype(np.uint64)) for _ in range(60)]
+    other = [np.sort(np.concatenate((s[:180], rng.choice(1 << 47, 20).astype(np.uint64)))) for s in sets]
+    flat = np.concatenate(sets + other)
+    off = np.arange(0, 200 * 121, 200)
+    for which, keys in lines.signature_keys(flat, off, 10, 5):
+        assert np.mean([len(set(keys[i].tolist()) & set(keys[i + 60].tolist())) > 0 for i in range(60)]) > 0.9
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]
+    want = closure(500, [e for e in edges if None not in e])
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)
+    for limit in (10_000, 0):
+        monkeypatch.setattr(components, "ONE_TASK_EDGES", limit)
+        got = {r.node: r.root for r in components.components(df).collect()}
+        assert got == {i: w for i, w in enumerate(want) if i != w}
+
+
+# 5
+
+
+def test_probability_jaccard_and_signature():
+    rng = np.random.default_rng(3)
+
+    def slow(a, b):
+        total = 0.0
+        for d in a.keys() & b.keys():
+            total += 1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys())
+        return total
+
+    errors = []
+    for _ in range(20):
+        ids = rng.choice(1 << 40, 60, replace=False)
+        a = {int(i): float(rng.integers(1, 5)) for i in ids[:45]}
+        b = {int(i): a.get(int(i), 1.0) * float(rng.choice([1, 1, 1, 2])) for i in ids[10:]}
+        ea, eb = np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)
+        wa, wb = np.array([a[int(i)] for i in ea]), np.array([b[int(i)] for i in eb])
+        exact = kernels.probability_jaccard(ea, wa, eb, wb)
+        assert exact == pytest.approx(slow(a, b))
+        sig = kernels.prob_minhash(np.concatenate((ea, eb)), np.repeat([0, 1], [len(ea), len(eb)]), np.concatenate((wa, wb)), 2, 512)
+        errors.append((sig[0] == sig[1]).mean() - exact)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_near_against_brute_force(spark):
+    texts, df = small_docs(spark, 9, 80)
+    sets = near.weighted_sets(pa.array(texts), 3)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if kernels.probability_jaccard(*sets[i], *sets[j]) >= 0.5]
+    comp = closure(len(texts), pairs)
+    want = {(i, c) for i, c in enumerate(comp) if i != c}
+    got = {(r.doc_id, r.duplicate_of) for r in near.near_duplicates(df).collect()}
+    assert len(want) > 10 and len(want ^ got) <= 0.06 * len(want)
+    kept = {r.doc_id for r in near.drop_near_duplicates(df).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_near_awkward(spark, awkward, empty):
+    assert near.near_duplicates(awkward).count() == 0
+    kept = near.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and kept.count() == 10
+    assert near.near_duplicates(empty).count() == 0 and near.drop_near_duplicates(empty).count() == 0
+
+
+def test_words_across_blocks(monkeypatch):
+    text = " ".join(f"w{i}é" for i in range(3000))
+    raw, off = kernels.buffers(pa.array([text, None, "tail end"]))
+    whole = kernels.words(raw, off)
+    monkeypatch.setattr(kernels, "BLOCK", 1 << 10)
+    parts = kernels.words(raw, off)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == 3002
+
+
+# 6
+
+
+def test_warc_salvages_what_follows_damage(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").repartition(2)
+    warc.write_warc(pages, str(tmp_path / "a"), damage=warc.damage_some)
+    rows = warc.read_warc(spark, str(tmp_path / "a")).collect()
+    good = {r.record_id: r.payload.decode() for r in rows if r.kind == "record"}
+    lost = {11, 31, 47, 83}
+    assert good == {f"<urn:page:{p.page_id}>": p.html for p in pages.collect() if p.page_id % 97 not in lost}
+    for f in {r.file for r in rows}:
+        spans = sorted({(r.offset, r.length) for r in rows if r.file == f})
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+        assert sum(spans[-1]) == (tmp_path / "a" / f).stat().st_size
+
+
+def test_warc_plain_and_broken(spark, tmp_path):
+    one, two, three = (warc.record(f"http://x/{i}", f"urn:{i}", b"body %d" % i * 9) for i in range(3))
+    (tmp_path / "p.warc").write_bytes(one + b"rubbish" + two[:-30] + three)
+    (tmp_path / "e.warc").write_bytes(b"")
+    (tmp_path / "n.warc.gz").write_bytes(b"nothing of the kind" * 50)
+    (tmp_path / "m.warc.gz").write_bytes(warc.member(one + two) + warc.member(b"no record") + warc.member(three))
+    by = {}
+    for r in warc.read_warc(spark, str(tmp_path)).collect():
+        by.setdefault(r.file, []).append(r)
+    assert [(r.kind, r.record_id) for r in sorted(by["p.warc"], key=lambda r: r.offset)] == [("record", "<urn:0>"), ("gap", None), ("record", "<urn:2>")]
+    assert "e.warc" not in by and [r.kind for r in by["n.warc.gz"]] == ["gap"]
+    assert sorted(r.record_id or "gap" for r in by["m.warc.gz"]) == ["<urn:0>", "<urn:1>", "<urn:2>", "gap"]
+
+
+def test_warc_awkward(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000)], "page_id bigint, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "a"))
+    rows = warc.read_warc(spark, str(tmp_path / "a")).collect()
+    assert sorted(len(r.payload) for r in rows) == [0, 0, 3_000_000, 3_000_000] and all(r.kind == "record" for r in rows)
+    warc.write_warc(pages.limit(0), str(tmp_path / "b"))
+    assert warc.read_warc(spark, str(tmp_path / "b")).count() == 0
+
+
+# 7
+
+
+def brute_cost(ends, is_doc, capacity, over, split, cuts):
+    at, cost = 0, 0
+    for c in cuts:
+        n = ends[c] - at
+        cost += capacity - n if n <= capacity else over * (n - capacity)
+        cost += 0 if is_doc[c] else split
+        at = ends[c]
+    return cost
+
+
+def test_cuts_are_optimal():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        ends = list(itertools.accumulate(rng.randint(1, 9) for _ in range(n)))
+        is_doc = [rng.random() < 0.5 for _ in range(n - 1)] + [True]
+        args = (ends, is_doc, rng.randint(3, 12), rng.randint(1, 5), rng.randint(0, 4))
+        best = min(brute_cost(*args, [*[i for i in range(n - 1) if bits >> i & 1], n - 1]) for bits in range(1 << (n - 1)))
+        assert brute_cost(*args, packing.best_cuts(*args)) == best
+
+
+def test_packing_keeps_order_and_ids(spark, docs):
+    tok = tokenizer()
+    want = np.concatenate([np.append(tok.encoding.encode_ordinary(r.text), 50256) for r in docs.orderBy("doc_id").collect()])
+    rows = packing.pack(docs.repartition(4), capacity=512).orderBy("shard", "window").collect()
+    got, at = [], 0
+    for r in rows:
+        ids = np.frombuffer(r.tokens, "<u2")
+        assert len(ids) == r.n_tokens <= 512 and r.n_padding == 512 - r.n_tokens and r.doc_ends[-1] == r.n_tokens and len(r.doc_ids) == len(r.doc_ends)
+        assert (ids == want[at : at + len(ids)]).all()
+        at += len(ids) + r.n_truncated
+    assert at == len(want)
+
+
+def test_packing_awkward(spark, awkward, empty):
+    rows = packing.pack(awkward).collect()
+    assert {d for r in rows for d in r.doc_ids} == {None, 3, 4, 5, 6, 7, 8}
+    assert packing.pack(empty).count() == 0
+
+
+# 8
+
+
+def test_mixing_quotas(spark, docs):
+    weights = {"src0": 3, "src1": 1, "src2": 1, "nobody": 5}
+    counts = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    rows = mixing.mix_sources(docs, weights={k: v for k, v in weights.items() if k != "nobody"}, block_docs=1, shard_docs=5).collect()
+    got = {s: sum(r.source == s for r in rows) for s in counts}
+    room = min(counts["src0"] / 3, counts["src1"], counts["src2"])
+    assert got["src0"] == int(room * 3) and got["src1"] == got["src2"] == int(room) and sum(got.values()) == got["src0"] + 2 * got["src1"]
+    assert len({r.doc_id for r in rows}) == len(rows)
+    tree = mixing.SplittingTree([got["src0"], got["src1"], got["src2"]], max(r.shard for r in rows) + 1, 17)
+    shares = tree.shares()
+    for shard in range(len(shares)):
+        mine = [r for r in rows if r.shard == shard]
+        assert [sum(r.source == s for r in mine) for s in ("src0", "src1", "src2")] == shares[shard].tolist()
+        assert sorted(r.position for r in mine) == list(range(1, len(mine) + 1))
+
+
+def test_splitting_tree_is_exact():
+    tree = mixing.SplittingTree([50, 7, 0, 900], 13, 3)
+    shares = tree.shares()
+    assert (shares.sum(axis=0) == [50, 7, 0, 900]).all() and shares.sum(axis=1).max() - shares.sum(axis=1).min() <= 1
+    source = np.repeat([0, 1, 3], [52, 7, 900])
+    block = np.concatenate((np.arange(52), np.arange(7), np.arange(900)))
+    placed = mixing.SplittingTree([50, 7, 0, 900], 13, 3).shard_of(source, block)
+    assert (placed == -1).sum() == 2
+    for s in (0, 1, 3):
+        assert (np.bincount(placed[(source == s) & (placed >= 0)], minlength=13) == shares[:, s]).all()
+
+
+def test_mixing_is_unbiased():
+    means = np.mean([mixing.SplittingTree([60, 20], 4, seed).shares() for seed in range(300)], axis=0)
+    assert np.abs(means - [15, 5]).max() < 0.5
+
+
+def test_mixing_awkward(spark, awkward, empty):
+    out = mixing.mix_sources(awkward, block_docs=1)
+    assert out.columns == [*awkward.columns, "_shard", "position"]
+    by = {s: sum(r.source == s for r in out.collect()) for s in ("s", None)}
+    assert by[None] == 1 and 1 <= by["s"] <= 10
+    assert mixing.mix_sources(awkward, block_docs=1, weights={"s": 1}).count() == 10
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# 9
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d.where("doc_id % 2 = 0"))
+    rows = langid.identify(d.where("doc_id % 2 = 1"), model).collect()
+    kept = [r for r in rows if r.accepted]
+    assert len(kept) >= 0.98 * len(rows) and np.mean([r.lang == r.predicted for r in kept]) >= 0.98
+
+
+def test_language_rejects_what_it_has_not_seen(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(1, "Добрый день, как ваши дела сегодня вечером?"), (2, "12 34 %% ## 99"), (3, "今日は天気がいいですね。散歩に行きましょう。")], "doc_id bigint, text string")
+    assert not any(r.accepted for r in langid.identify(odd, langid.fit(d)).collect())
+
+
+def test_language_awkward(spark, awkward, empty):
+    model = langid.fit(awkward)
+    out = langid.identify(awkward, model)
+    by = {r.doc_id: r for r in out.collect()}
+    assert out.columns[: len(awkward.columns)] == awkward.columns and not by[1].accepted and not by[2].accepted
+    assert langid.fit(empty) is None and langid.identify(empty, None).count() == 0 and not any(r.accepted for r in langid.identify(awkward, None).collect())
+    assert langid.identify(empty, model).count() == 0
+
+
+def test_subwords_stay_in_their_row():
+    raw, off = kernels.buffers(pa.array(["abc", "", "xyz de"]))
+    joint = [b.copy() for b in langid.subwords(raw, off)]
+    apart = [np.concatenate([next(itertools.islice(langid.subwords(*kernels.buffers(pa.array([t]))), i, None)) for t in ("abc", "xyz de")]) for i in range(3)]
+    assert all((a == b).all() for a, b in zip(joint, apart))
+
+
+# 10
+
+
+def test_pii_finds_planted_spans_only(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(2, 8))) for _ in range(30))
+    make = {
+        "email": lambda: f"ann{rng.randrange(99)}@mail{rng.randrange(9)}.example.com",
+        "phone": lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}",
+        "ip": lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4)),
+        "card": lambda: "".join(rng.choices("0123456789", k=16)),
+        "secret": lambda: 'token = "' + "".join(rng.choices("0123456789abcdef", k=40)) + '"',
+    }
+    rows, want = [], set()
+    for i in range(200):
+        text = plain()
+        if i % 2:
+            kind = rng.choice(list(make))
+            span = make[kind]()
+            start = len(text) + 1 + (9 if kind == "secret" else 0)
+            want.add((i, start, start + (40 if kind == "secret" else len(span)), kind))
+            text += f" {span} {plain()}"
+        elif i % 4 == 0:
+            text += rng.choice([" version 3.14, see page 127", " Licensed under CC BY-NC 4.0.", " in 2019 and 2020", " 1234.5 and 12"])
+        rows.append((i, text))
+    got = {(r.doc_id, r.start, r.end, r.kind) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want & got) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_pii_em_learns_a_bad_labeler():
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.5
+    good = np.where(rng.random((3, 4000)) < 0.9, np.where(truth, 1, -1), np.where(truth, -1, 1))
+    noise = rng.choice([-1, 1], (1, 4000))
+    votes, inverse, count = np.unique(np.vstack((good, noise)).T, axis=0, return_inverse=True, return_counts=True)
+    p = pii.estimate(votes, np.zeros(len(votes), int), count.astype(float))
+    assert ((p[inverse.ravel()] > 0.5) == truth).mean() > 0.96
+
+
+def test_pii_awkward(spark, awkward, empty):
+    assert pii.find_pii(awkward).count() == 0 and pii.find_pii(empty).count() == 0
+    both = spark.createDataFrame([(None, "mail a.b@example.com now"), (3, "é 10.1.2.3"), (3, "é 10.1.2.3")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.start, r.end) for r in pii.find_pii(both).collect()) == [(0, 5, 20), (3, 2, 10), (3, 2, 10)]
+
+
+# shared
+
+
+def test_bitmap_has_no_misses(spark):
+    values = np.random.default_rng(0).integers(-(2**62), 2**62, 3000)
+    bits = banding.bitmap(spark.createDataFrame([(int(v),) for v in values], "h bigint"), "h")
+    assert banding.maybe_in(bits, values).all() and banding.maybe_in(bits, values + 12345).mean() < 0.01
+
+
+def test_link_joins_what_all_pairs_join():
+    rng = random.Random(1)
+    for _ in range(50):
+        n = rng.randint(2, 12)
+        good = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.15}
+        edges = banding.link(n, lambda i, js: np.array([(i, j) in good for j in js.tolist()], bool))
+        assert closure(n, edges) == closure(n, good) and set(edges) <= good
+
+
+def test_members_have_no_time():
+    assert warc.member(b"x") == warc.member(b"x") and zlib.decompress(warc.member(b"x"), 31) == b"x"
