@@ -1,4 +1,426 @@
 """Registered queries of the graph engine with their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.iri import compact_iri, expand_iri, join_namespace, quote_value
+from ..operators import analytics, interp, merge, paths, select
+from ..schema import BASE, INTERP, Graph
+from ..session import scratch_path
+from ..sources import literate
+from ..sources.store import open_store
+from ..sources.tables import CTES, NS, V, stored, table_graph
+from ..streaming.ingest import event_sessions, event_windows
+from .emit import dot_lines, mermaid_lines
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+ROW = ["occ", "kind", "origin", "label", "target", "value", "id", "interp"]
+ROW_SQL = ", ".join(ROW)
+CUSTOMER, ORDER = NS + "customer/7", NS + "order/"
+
+
+def query(sql: str | None = None, write: bool = False):
+    """Register a query over the table graph under its function's name; ``sql`` may use the tables ``nodes`` and ``a``; ``write`` writes the graph first."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(stored(table_graph(spark, sf_dir)) if write else table_graph(spark, sf_dir))
+        if sql:
+            head = "with recursive " if "recursive_part" in sql else "with "
+            extra, _, body = sql.rpartition("####")
+            ORACLE[f.__name__] = head + CTES + (",\n" + extra if extra else "") + "\n" + body
+        return f
+
+    return add
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    return df.select(ROW)
+
+
+def _least_id(g: Graph) -> str:
+    return g.assertions.agg(F.min("id")).first()[0]
+
+
+@query(f"select {ROW_SQL} from a where depth = 0")
+def select_all(g):
+    return _columns(select.select(g))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and origin = '{CUSTOMER}'")
+def select_origin(g):
+    return _columns(select.select(g, CUSTOMER))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and label = '{V}placedBy'")
+def select_label(g):
+    return _columns(select.select(g, label=V + "placedBy"))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and kind = 'P' and value = 'true'")
+def select_value(g):
+    return _columns(select.select(g, value="true"))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and kind = 'E' and target = '{NS}nation/3'")
+def select_target(g):
+    return _columns(select.select(g, target=NS + "nation/3"))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and id = (select min(id) from a)", write=True)
+def select_id(g):
+    return _columns(select.select(g, id=_least_id(g)))
+
+
+@query(f"select {ROW_SQL} from a where label = '{V}quantity'")
+def select_deep_label(g):
+    return _columns(select.select(g, label=V + "quantity", deep=True))
+
+
+@query(f"select {ROW_SQL} from a where origin = (select min(id) from a)", write=True)
+def select_nested_by_parent_id(g):
+    return _columns(select.select(g, _least_id(g), deep=True))
+
+
+_NOTES = "notes as (select parent_occ, string_agg(label || '=' || value, ';' order by label) as notes from (select parent_occ, label, max(value) as value from a where depth > 0 and kind = 'P' group by all) group by parent_occ)"
+
+
+@query(f"{_NOTES}####select a.occ, origin, label as relation, coalesce(target, value) as target, coalesce(notes, '') as annotations from a left join notes on notes.parent_occ = a.occ where depth = 0")
+def match_with_annotations(g):
+    rows = select.match(g)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("annotations")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return rows.withColumn("annotations", text)
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and kind = 'E' and origin = '{CUSTOMER}' and label = '{V}inNation'")
+def traverse(g):
+    return _columns(select.traverse(g, CUSTOMER, V + "inNation"))
+
+
+@query(f"select {ROW_SQL} from a where depth = 0 and kind = 'E' and target = '{CUSTOMER}' and label = '{V}placedBy'")
+def reverse(g):
+    return _columns(select.reverse(g, CUSTOMER, V + "placedBy"))
+
+
+@query(f"select id from nodes where list_has_any(types, ['{V}Party', '{V}Region'])")
+def typematch_any(g):
+    return select.typematch(g, [V + "Party", V + "Region"]).select("id")
+
+
+@query("select type, count(*) as n from (select unnest(types) as type from nodes) group by type")
+def node_count_by_type(g):
+    return g.nodes.select(F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("select label, kind, depth, count(*) as n from a group by all")
+def assertion_count_by_label(g):
+    return g.assertions.groupBy("label", "kind", "depth").agg(F.count("*").alias("n"))
+
+
+_MERGED = """p0 as (select *, coalesce(target, value) as payload, coalesce(id, '') as ident from a where depth = 0),
+l0 as (select *, min(interp) over g as lo, max(interp) over g as hi from p0 window g as (partition by root, kind, label, payload, ident)),
+s0 as (select *, coalesce(interp, lo) as eff from l0 where id is not null or interp is not null or lo is null or lo = hi),
+m0 as (select root, kind, label, payload, ident, eff, min(occ) as first from s0 group by all),
+p1 as (select c.*, s0.root as r, s0.kind as k, s0.label as l, s0.payload as p, s0.ident as i, s0.eff as e, coalesce(c.target, c.value) as payload from a c join s0 on c.parent_occ = s0.occ where c.depth = 1),
+m1 as (select distinct r, k, l, p, i, e, kind, label, payload, interp from p1)"""
+
+
+def _merged(g: Graph, *labels: str) -> Graph:
+    wanted = [V + x for x in labels]
+    return merge.merge(Graph(g.nodes, g.assertions.where(F.col("label").isin(wanted)))) if labels else merge.merge(g)
+
+
+@query(f"{_MERGED}####select label, kind, 0 as depth, count(*) as n from m0 group by all union all select label, kind, 1, count(*) from m1 group by all", write=True)
+def merge_all_counts(g):
+    return _merged(g).assertions.groupBy("label", "kind", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"{_MERGED}####select root, ident as id, payload from m0 where ident <> ''", write=True)
+def merge_rule1_identified(g):
+    return _merged(g).assertions.where("id is not null").select("root", "id", F.col("target").alias("payload"))
+
+
+@query(f"{_MERGED}####select root, payload from m0 where label = '{V}placedBy'", write=True)
+def merge_rule2_counts(g):
+    return _merged(g, "placedBy").assertions.select("root", F.col("target").alias("payload"))
+
+
+@query(f"{_MERGED}####select root, payload as value, eff as interp from m0 where label = '{V}totalprice'", write=True)
+def merge_interp_adoption(g):
+    return _merged(g, "totalprice", "checkedBy").assertions.where("depth = 0").select("root", "value", "interp")
+
+
+@query(f"{_MERGED}####select root, payload as value, count(*) as n from m0 where label = '{V}totalprice' group by all having count(*) > 1", write=True)
+def merge_interp_conflict(g):
+    return _merged(g, "totalprice").assertions.groupBy("root", "value").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"{_MERGED}####select count(*) as n_before, (select count(*) from m0 where label = '{V}totalprice') as n_after, (select count(*) from m0 where label = '{V}totalprice' and eff is null) as n_null from a where label = '{V}totalprice'", write=True)
+def merge_null_drop(g):
+    after = _merged(g, "totalprice").assertions.agg(F.count("*").alias("n_after"), F.count_if(F.col("interp").isNull()).alias("n_null"))
+    return g.assertions.where(F.col("label") == V + "totalprice").agg(F.count("*").alias("n_before")).crossJoin(after).select("n_before", "n_after", "n_null")
+
+
+@query(f"{_MERGED}####select root, payload as target, ident <> '' as identified, count(*) as n from m0 where label = '{V}contains' group by all", write=True)
+def merge_rule3(g):
+    m = _merged(g, "contains").assertions
+    return m.groupBy("root", "target", F.col("id").isNotNull().alias("identified")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_MERGED}####select r as root, e as parent_interp, payload as value from m1 where label = '{V}checkedBy'", write=True)
+def merge_nested_union(g):
+    m = _merged(g, "totalprice", "checkedBy").assertions
+    parents = m.where("depth = 0").select(F.col("occ").alias("parent_occ"), F.col("interp").alias("parent_interp"))
+    return m.where("depth = 1").join(parents, "parent_occ").select("root", "parent_interp", "value")
+
+
+@query(f"select root, label, coalesce(target, value) as payload from (select distinct root, label, target, value from a where label in ('{V}inNation', '{V}placedBy'))", write=True)
+def union_two_graphs(g):
+    part = lambda *labels: Graph(g.nodes, g.assertions.where(F.col("label").isin([V + x for x in labels])))
+    both = merge.union(part("inNation", "placedBy"), part("placedBy"))
+    return both.assertions.select("root", "label", F.col("target").alias("payload"))
+
+
+@query(f"select a.id from (select distinct id from a where id is not null) a join (select id from nodes union all select '{NS}line/' || cast(i as string) || '-1-' || cast(j as string) from range(1, 50) t(i), range(1, 200) u(j)) n on n.id = a.id")
+def id_space_collisions(g):
+    spark = g.nodes.sparkSession
+    pairs = spark.range(1, 50).withColumnRenamed("id", "i").crossJoin(spark.range(1, 200).withColumnRenamed("id", "j"))
+    extra = pairs.select(F.lit("main").alias("graph"), F.concat(F.lit(NS + "line/"), F.col("i").cast("string"), F.lit("-1-"), F.col("j").cast("string")).alias("id"), F.expr("cast(array() as array<string>)").alias("types"))
+    return merge.collisions(Graph(g.nodes.unionByName(extra), g.assertions)).select("id")
+
+
+_HASH0 = "sha256(kind || chr(31) || origin || chr(31) || label || chr(31) || coalesce(target, value))"
+
+
+@query(f"select occ, {_HASH0} as skeleton from a where depth = 0")
+def skeleton_hash_top(g):
+    return merge.with_hashes(Graph(g.nodes, g.assertions.where("depth = 0"))).select("occ", "skeleton")
+
+
+@query(f"h as (select occ, {_HASH0} as skeleton from a where depth = 0)####select a.occ, sha256(kind || chr(31) || coalesce(origin, skeleton) || chr(31) || label || chr(31) || coalesce(target, value)) as skeleton from a join h on h.occ = a.parent_occ where depth = 1", write=True)
+def skeleton_hash_nested(g):
+    return merge.with_hashes(g).where("depth = 1").select("occ", "skeleton")
+
+
+@query("select occ, origin as source, target, label from a where kind = 'E' and depth = 0")
+def edge_hop(g):
+    return g.edge_hop.select("occ", "source", "target", "label")
+
+
+@query("select 1 as one where false union all select 1 from a where (kind = 'E' and target is null) or (kind = 'P' and value is null)", write=True)
+def structure_faults(g):
+    from ..schema import structure_faults as faults
+
+    return faults(g).select(F.lit(1).alias("one"))
+
+
+_SCOPE = f"hop as (select origin, target from a where kind = 'E' and depth = 0 and target in (select id from nodes)), r0 as (select '{CUSTOMER}' as id union select '{ORDER}7'), r1 as (select id from r0 union select target from hop join r0 on r0.id = origin), r2 as (select id from r1 union select target from hop join r1 on r1.id = origin)"
+
+
+@query(f"{_SCOPE}####select occ from a where root in (select id from r2)", write=True)
+def subgraph_2hop(g):
+    roots = g.nodes.sparkSession.createDataFrame([(CUSTOMER,), (ORDER + "7",), (NS + "nobody",)], "id string")
+    return paths.subgraph(g, roots, 2).assertions.select("occ")
+
+
+@query(f"{_SCOPE}####select id, len(types) = 0 as bare from nodes where id in (select id from r2) union select target, true from a where kind = 'E' and root in (select id from r2) and target not in (select id from r2) and target not in (select id from a where id is not null and root in (select id from r2))", write=True)
+def subgraph_2hop_nodes(g):
+    roots = g.nodes.sparkSession.createDataFrame([(CUSTOMER,), (ORDER + "7",)], "id string")
+    return paths.subgraph(g, roots, 2).nodes.select("id", (F.size("types") == 0).alias("bare"))
+
+
+def _reach(start: str, hops: int) -> str:
+    return f"hop as (select origin as s, target as t from a where kind = 'E' and depth = 0 and label = '{V}followedBy'), recursive_part(id, d) as (select t, 1 from hop where s = '{start}' union select t, d + 1 from recursive_part join hop on s = id where d < {hops})####select distinct id from recursive_part"
+
+
+@query(_reach(ORDER + "1", 3))
+def reachable_3hop(g):
+    return paths.reachable(g, ORDER + "1", V + "followedBy", 3)
+
+
+@query(_reach(ORDER + "7", 12))
+def reachable_12hop(g):
+    return paths.reachable(g, ORDER + "7", V + "followedBy", 12)
+
+
+def _chain(*labels: str) -> str:
+    froms = " join ".join(f"(select distinct origin as s{i}, target as t{i} from a where kind = 'E' and depth = 0 and label = '{V}{x}')" + (f" on s{i} = t{i - 1}" if i else "") for i, x in enumerate(labels))
+    return f"select distinct s0 as source, t{len(labels) - 1} as target from {froms}"
+
+
+@query(_chain("followedBy", "followedBy"))
+def pattern_friend_of_friend(g):
+    return paths.path(g, [V + "followedBy"] * 2)
+
+
+@query(_chain("inNation", "inRegion"))
+def pattern_two_labels(g):
+    return paths.path(g, [V + "inNation", V + "inRegion"])
+
+
+@query("select label, count(*) as n from a where kind = 'E' and depth = 0 group by label")
+def graph_table_sql(g):
+    paths.register_views(g, "loam_")
+    return paths.graph_table(g.nodes.sparkSession, "select label, count(*) as n from loam_base_edges group by label")
+
+
+_NUMBER_SQL = "regexp_full_match(value, '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+_BAD = f"kind = 'P' and ((interp = '{INTERP}number' and not {_NUMBER_SQL}) or (interp = '{INTERP}boolean' and value not in ('true', 'false')) or (interp = '{INTERP}datetime' and try_cast(value as date) is null))"
+
+
+@query(f"select occ, origin, interp, value from a where {_BAD}")
+def validate_findings(g):
+    return interp.validate(g).select("occ", "origin", "interp", "value")
+
+
+@query(f"select interp, count(*) as n from a where interp is not null and interp not in ({', '.join(repr(INTERP + x) for x in ('number', 'datetime', 'boolean', 'iri', 'text'))}) group by interp")
+def unknown_interps(g):
+    return interp.unknown_interps(g)
+
+
+@query(f"select occ, cast(cast(value as decimal(38,2)) as string) as number from a where kind = 'P' and interp = '{INTERP}number' and {_NUMBER_SQL}")
+def value_number(g):
+    return interp.typed(g).where("value_number is not null").select("occ", F.col("value_number").cast("decimal(38,2)").cast("string").alias("number"))
+
+
+@query(f"select occ, cast(cast(value as date) as string) as day from a where kind = 'P' and interp = '{INTERP}datetime'")
+def value_datetime(g):
+    return interp.typed(g).where("value_datetime is not null").select("occ", F.col("value_datetime").cast("date").cast("string").alias("day"))
+
+
+@query(f"select occ, value = 'true' as truth from a where interp = '{INTERP}boolean' and value in ('true', 'false')")
+def value_boolean(g):
+    return interp.typed(g).where("value_boolean is not null").select("occ", F.col("value_boolean").alias("truth"))
+
+
+@query(f"select occ, rtrim(rtrim(value, '0'), '.') as canonical from a where kind = 'P' and interp = '{INTERP}number' and {_NUMBER_SQL} and contains(value, '.')")
+def canonical_number(g):
+    numbers = g.assertions.where((F.col("kind") == "P") & (F.col("interp") == INTERP + "number") & F.contains("value", F.lit(".")))
+    return numbers.select("occ", interp.canonical_number("value").alias("canonical")).where("canonical is not null")
+
+
+@query(f"select id, 'kg:' || id[{len(NS) + 1}:] as short, '<' || id || '>' as far from nodes")
+def compact_iris(g):
+    return g.nodes.select("id", compact_iri(F.col("id"), {"kg": NS, "ex": "http://example.org/"}).alias("short"), compact_iri(F.col("id"), {"v": V}).alias("far"))
+
+
+@query(f"select id, id as full, '{NS}' || id[{len(NS) + 1}:] as relative, '{BASE}x' as builtin from nodes")
+def expand_iris(g):
+    short = F.concat(F.lit("kg:"), F.substr("id", F.lit(len(NS) + 1)))
+    return g.nodes.select("id", expand_iri(short, {"kg": NS}, "http://nowhere/").alias("full"), expand_iri(F.substr("id", F.lit(len(NS) + 1)), {}, NS).alias("relative"), expand_iri(F.lit("@x"), {}, NS).alias("builtin"))
+
+
+@query(f"select id, '{V}a/' || id[{len(NS) + 1}:] as slash, '{V}a#' || id[{len(NS) + 1}:] as hash from nodes")
+def join_namespaces(g):
+    local = F.substr("id", F.lit(len(NS) + 1))
+    return g.nodes.select("id", join_namespace(F.lit(V + "a"), local).alias("slash"), join_namespace(F.lit(V + "a#"), local).alias("hash"))
+
+
+@query("select occ, case when regexp_matches(value, '[\\s:\"\\\\]|^<|^''|^$') then '\"' || replace(replace(value, '\\', '\\\\'), '\"', '\\\"') || '\"' else value end as quoted from a where kind = 'P'")
+def quoted_values(g):
+    return g.assertions.where("kind = 'P'").select("occ", quote_value(F.col("value")).alias("quoted"))
+
+
+@query("lists as (select root, label, string_agg(value, '|' order by value) as vs from a where kind = 'P' and depth = 0 group by all), m as (select root, string_agg(label || '=' || vs, ';' order by label) as attrs from lists group by root)####select nodes.id, coalesce(attrs, '') as attrs from nodes left join m on m.root = nodes.id")
+def projection_vertices(g):
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";")
+    return analytics.vertices(g).select("id", F.coalesce(text, F.lit("")).alias("attrs"))
+
+
+@query("select occ, origin as source, target, label from a where kind = 'E' and depth = 0 and target not in (select id from a where id is not null)")
+def projection_edges(g):
+    return analytics.edges(g).select("occ", "source", "target", "label")
+
+
+@query("e as (select origin, target from a where kind = 'E' and depth = 0 and target not in (select id from a where id is not null))####select id, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select origin as id, 0 as i, 1 as o from e union all select target, 1, 0 from e) group by id")
+def degree(g):
+    return analytics.degree(g)
+
+
+@query(f"c as (select target as id, cast(count(*) as string) as value from a where label = '{V}placedBy' group by target)####select root, value, interp from a where label = '{V}acctbal' and root not in (select id from c) union all select id, value, '{INTERP}number' from c where id in (select id from nodes)", write=True)
+def write_back_replace(g):
+    counts = g.edge_hop.where(F.col("label") == V + "placedBy").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("value"))
+    done = analytics.write_back(g, V + "acctbal", counts, INTERP + "number")
+    return done.assertions.where(F.col("label") == V + "acctbal").select("root", "value", "interp")
+
+
+@query(f"p as (select root, min(case when label = '{V}name' then value end) as name, min(case when label = '{V}acctbal' then value end) as balance, min(case when label = '{V}active' then value end) as active from a where kind = 'P' and depth = 0 group by root)####select id, name, cast(cast(balance as decimal(38,2)) as string) as balance, case when active in ('true', 'false') then active = 'true' end as active from nodes left join p on p.root = id where list_contains(types, '{V}Customer')")
+def project_customers(g):
+    out = analytics.project(g, V + "Customer", {"name": (V + "name", None), "balance": (V + "acctbal", INTERP + "number"), "active": (V + "active", INTERP + "boolean")})
+    return out.withColumn("balance", F.col("balance").cast("decimal(38,2)").cast("string"))
+
+
+@query(f"gone as (select occ from a where depth = 0 and origin = '{ORDER}10' and label = '{V}totalprice' and id is null)####select occ from a where occ not in (select occ from gone) and coalesce(parent_occ, '') not in (select occ from gone)", write=True)
+def remove_skeleton_cascade(g):
+    price = g.assertions.where((F.col("root") == ORDER + "10") & (F.col("label") == V + "totalprice")).select("value").first()
+    return select.remove_skeleton(g, ORDER + "10", V + "totalprice", price[0] if price else "").assertions.select("occ")
+
+
+@query(f"{_MERGED}####select root, label, payload, eff as interp from m0 where label in ('{V}name', '{V}inNation', '{V}acctbal')", write=True)
+def store_put_get_roundtrip(g):
+    spark = g.nodes.sparkSession
+    part = Graph(g.nodes, g.assertions.where(F.col("label").isin(V + "name", V + "inNation", V + "acctbal")))
+    store = open_store(spark, scratch_path(spark, "store"))
+    store.put("main", part)
+    store.put("main", Graph(part.nodes, part.assertions.where("kind = 'E'")))
+    return store.get("main").assertions.select("root", "label", F.coalesce("target", "value").alias("payload"), "interp")
+
+
+_LAST = "regexp_extract({}, '([^/#]*)$', 1)"
+
+
+@query(
+    "t as (select id, list_transform(types, lambda x: regexp_extract(x, '([^/#]*)$', 1)) as ts from nodes), n as (select id, row_number() over (order by id) - 1 as r, " + _LAST.format("id") + " || ' ' || array_to_string(ts, ', ') as label from t)####"
+    "select 1 as part, '  n' || cast(r as string) || '[\"' || label || '\"]' as line from n union all select 2, '  n' || cast(x.r as string) || ' -->|\"' || " + _LAST.format("a.label") + " || '\"| n' || cast(y.r as string) from a join n x on x.id = origin join n y on y.id = target where kind = 'E' and depth = 0"
+)
+def mermaid_diagram(g):
+    return mermaid_lines(g)
+
+
+@query(
+    "t as (select id, list_transform(types, lambda x: regexp_extract(x, '([^/#]*)$', 1)) as ts from nodes)####"
+    "select 1 as part, '  \"' || id || '\" [label=\"' || " + _LAST.format("id") + " || ' : ' || array_to_string(ts, ', ') || '\"];' as line from t union all select 2, '  \"' || origin || '\" -> \"' || target || '\" [label=\"' || " + _LAST.format("label") + " || '\"];' from a where kind = 'E' and depth = 0"
+)
+def dot_diagram(g):
+    return dot_lines(g)
+
+
+def _literate_part(g: Graph) -> Graph:
+    wanted = [V + x for x in ("name", "inRegion", "inNation", "acctbal", "active", "mktsegment")]
+    return Graph(g.nodes.where(F.arrays_overlap("types", F.array(*(F.lit(V + t) for t in ("Region", "Nation", "Customer"))))), g.assertions.where(F.col("label").isin(wanted) & ~F.startswith("root", F.lit(NS + "supplier")) & ~F.startswith("root", F.lit(NS + "part"))))
+
+
+@query(f"select root, label, coalesce(target, value) as payload, interp from a where label in ({', '.join(repr(V + x) for x in ('name', 'inRegion', 'inNation', 'acctbal', 'active', 'mktsegment'))}) and root not like '{NS}supplier%' and root not like '{NS}part%'")
+def literate_roundtrip(g):
+    texts = literate.write_literate(_literate_part(g), schema=V, nodebase=NS, prefixes={"kg": NS})
+    back = literate.read_literate(g.nodes.sparkSession, texts.withColumnRenamed("graph", "name"))
+    return back.assertions.select("root", "label", F.coalesce("target", "value").alias("payload"), "interp")
+
+
+@query()
+def pagerank(g):
+    return analytics.pagerank(g.edge_hop.where(F.col("label").isin(V + "inNation", V + "inRegion", V + "placedBy"))).select("id", F.round("rank", 12).alias("rank"))
+
+
+@query(f"e as (select origin as s, target as t from a where kind = 'E' and depth = 0 and label = '{V}followedBy' union select target, origin from a where kind = 'E' and depth = 0 and label = '{V}followedBy'), recursive_part(id, c) as (select s, s from e union select t, c from recursive_part join e on s = id where t > c)####select id, min(c) as component from (select * from recursive_part union all select s, s from e) group by id")
+def chain_components(g):
+    return analytics.connected_components(g.edge_hop.where(F.col("label") == V + "followedBy"))
+
+
+def _events(f, sql):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    ORACLE[f.__name__] = sql
+
+
+def windows_of_events(events):
+    return event_windows(events).select(F.col("start").cast("string").alias("start"), "event_type", "n")
+
+
+def sessions_of_events(events):
+    return event_sessions(events).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+_events(windows_of_events, "select cast(date_trunc('day', ts) as string) as start, event_type, count(*) as n from events group by all")
+_events(sessions_of_events, "with m as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from m) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k")
