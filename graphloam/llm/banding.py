@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .kernels import U64
 
 BLOBS = "pid int, keys binary, nodes binary"
-_FLUSH = 1 << 19
+_FLUSH = 1 << 18
 
 
 class BlobWriter:

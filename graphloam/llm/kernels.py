@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _LOWER = np.arange(0x10000, dtype=np.uint32)
 for _c in range(0x10000):
     if not 0xD800 <= _c < 0xE000 and len(_l := chr(_c).lower()) == 1 and ord(_l) < 0x10000:
@@ -39,6 +42,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Give freed memory back: a worker lives on between tasks, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes, or one row where it is longer; every row is in one."""
     n, i = len(offsets) - 1, 0
@@ -46,6 +56,7 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    trim()
 
 
 def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

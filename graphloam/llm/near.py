@@ -13,7 +13,7 @@ from .banding import BLOBS, BlobWriter, blob_parts, candidate_groups, verified_e
 from .components import components
 from .kernels import band_keys, buffers, prob_minhash, probability_jaccard, slices, weighted_shingles
 
-_SLICE = 1 << 23
+_SLICE = 1 << 21
 _ROWS = 1 << 15
 
 

@@ -18,7 +18,7 @@ SCHEMA = "shard bigint, window int, n_tokens int, n_padding int, n_truncated big
 _ARROW = pa.schema(
     [("shard", pa.int64()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("n_padding", pa.int32()), ("n_truncated", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32())), ("tokens", pa.binary())]
 )
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, split: int) -> list[int]:

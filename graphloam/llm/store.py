@@ -18,7 +18,7 @@ from .tokens import VOCAB, tokenizer
 SCHEMA = "kind string, key binary, doc_id bigint, n_tokens bigint, data binary"
 _ROUTED = f"part bigint, {SCHEMA}"
 _ARROW = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:

@@ -11,7 +11,7 @@ import tiktoken
 #: Default vocabulary file; every operator that tokenizes takes another as ``vocab``.
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _PARTS = 2048
 _loaded: dict[str, "Tokenizer"] = {}
 
