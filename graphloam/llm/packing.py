@@ -21,11 +21,15 @@ _ARROW = pa.schema(
 _SLICE = 1 << 20
 
 
-def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, split: int) -> list[int]:
+#: Cost of an id cut off, far above that of any cut: none is while windows have places to end at.
+_NEVER = 1 << 40
+
+
+def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, split: int, more: list[int] | None = None) -> list[int]:
     """Indexes into ``ends`` (rising token counts at which a window may end) of the cheapest cuts; the last is always one.
 
     A window of n tokens costs capacity - n if it fits, else over * (n - capacity) for what is cut off; a cut that isn't
-    at a document's end costs ``split`` more. The candidates for a window that fits sit in a monotone queue of
+    at a document's end costs ``split`` more, and what ``more`` has for its place. The candidates for a window that fits sit in a monotone queue of
     f + position, those too far away in a running minimum of f - over * position: linear in the number of places.
     """
     n = len(ends)
@@ -52,7 +56,7 @@ def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, spl
             best, back[j] = queue[0][0] + capacity - p, queue[0][1]
         if far is not None and (best is None or far + over * (p - capacity) < best):
             best, back[j] = far + over * (p - capacity), far_at
-        f[j] = best + (0 if is_doc[j - 1] else split)
+        f[j] = best + (0 if is_doc[j - 1] else split) + (more[j - 1] if more else 0)
     cuts, j = [], n
     while j:
         cuts.append(j - 1)
@@ -62,19 +66,20 @@ def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, spl
 
 class _Shard:
     def __init__(self, number: int):
-        self.number, self.ids, self.ends, self.is_doc, self.doc_ids, self.doc_ends, self.total = number, [], [], [], [], [], 0
+        self.number, self.ids, self.ends, self.is_doc, self.inside, self.doc_ids, self.doc_ends, self.total = number, [], [], [], [], [], [], 0
 
     def windows(self, capacity: int, over: int, split: int, width: str) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
         ends = np.concatenate(self.ends).tolist()
         is_doc = np.concatenate(self.is_doc).tolist()
+        inside = np.concatenate(self.inside)
+        more = ((over - 1) * split * inside).tolist() if inside.any() else None
         doc_ends, rows, at = np.array(self.doc_ends), [], 0
-        for w, c in enumerate(best_cuts(ends, is_doc, capacity, over, split)):
+        for w, c in enumerate(best_cuts(ends, is_doc, capacity, _NEVER, split, more)):
             end = ends[c]
-            stop = min(end, at + capacity)
-            d0, d1 = np.searchsorted(doc_ends, at, side="right"), np.searchsorted(doc_ends, stop, side="left")
-            inner = np.minimum(doc_ends[d0 : d1 + 1], stop) - at
-            rows.append((self.number, w, stop - at, capacity - (stop - at), end - stop, self.doc_ids[d0 : d1 + 1], inner.tolist(), ids[at:stop].astype(width).tobytes()))
+            d0, d1 = np.searchsorted(doc_ends, at, side="right"), np.searchsorted(doc_ends, end, side="left")
+            inner = np.minimum(doc_ends[d0 : d1 + 1], end) - at
+            rows.append((self.number, w, end - at, capacity - (end - at), max(0, end - at - capacity), self.doc_ids[d0 : d1 + 1], inner.tolist(), ids[at:end].astype(width).tobytes()))
             at = end
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
@@ -86,6 +91,27 @@ def _boundaries(tok, ids: np.ndarray) -> np.ndarray:
     return tok.ends_line[ids] | (tok.ends_mark[ids] & follow)
 
 
+def _places(tok, body: np.ndarray, mark: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Ends of a document's sentences and, where one is longer than a window, of its words or of steps in one; whether inside a sentence).
+
+    No two neighbours are further apart than ``capacity``, so that every window fits.
+    """
+    ends = np.flatnonzero(mark) + 1
+    if len(mark) <= capacity or (sizes := np.diff(ends, prepend=0)).max() <= capacity:
+        return ends, np.zeros(len(ends), bool)
+    extra, words, step = [], np.flatnonzero(tok.begins_white[body[1:]]) + 1, max(1, capacity // 32)
+    for e, n in zip(ends[sizes > capacity].tolist(), sizes[sizes > capacity].tolist()):
+        at = e - n
+        for w in [*words[(words > at) & (words < e)].tolist(), e]:
+            if w - at > capacity:
+                extra.extend(range(at + step, w, step))
+            if w < e:
+                extra.append(w)
+            at = w
+    places = np.union1d(ends, np.array(extra, np.int64))
+    return places, ~np.isin(places, ends)
+
+
 def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int | None):
     tok = tokenizer(vocab)
     width = "<u2" if max(len(tok.length) - 1, eot or 0) < 1 << 16 else "<u4"
@@ -104,16 +130,17 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
                 if not r:
                     continue
                 ids = np.frombuffer(r, "<u4")
-                mark = _boundaries(tok, ids)
+                body, mark = ids, _boundaries(tok, ids)
                 if eot is not None:
                     ids, mark = np.append(ids, np.uint32(eot)), np.append(mark, True)
                     mark[-2] = False
                 mark[-1] = True
-                ends = np.flatnonzero(mark) + 1 + shard.total
+                ends, inside = _places(tok, body, mark, capacity)
+                ends = ends + shard.total
                 doc = np.zeros(len(ends), bool)
                 doc[-1] = True
                 shard.total += len(ids)
-                for to, x in ((shard.ids, ids), (shard.ends, ends), (shard.is_doc, doc), (shard.doc_ids, doc_id), (shard.doc_ends, shard.total)):
+                for to, x in ((shard.ids, ids), (shard.ends, ends), (shard.is_doc, doc), (shard.inside, inside), (shard.doc_ids, doc_id), (shard.doc_ends, shard.total)):
                     to.append(x)
     if shard is not None and shard.total:
         yield shard.windows(capacity, over, split, width)
@@ -122,9 +149,10 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = 2048, over: int = 4, split: int = 16, shard_ids: int = 1024, eot: int | None = 50256) -> DataFrame:
     """Windows of at most ``capacity`` ids over the documents in the order of their ids.
 
-    A shard is ``shard_ids`` consecutive ids; in each, the cuts minimise padding plus ``over`` a truncated id plus
-    ``split`` a cut inside a document. Windows end at documents' or sentences' ends, so ids are truncated only where one
-    sentence is longer than a window. ``eot`` follows each document (None: nothing does). Row: the shard and the
+    A shard is ``shard_ids`` consecutive ids; in each, the cuts minimise padding plus ``split`` a cut inside a document,
+    ``over`` times that inside a sentence. Windows end at documents' or sentences' ends; a sentence longer than a window
+    may be cut after its words too, and where there are none for a whole window, at steps of a 32nd of one. No id is
+    ever dropped: ``n_truncated`` is 0. ``eot`` follows each document (None: nothing does). Row: the shard and the
     window's place in it, the counts, the documents in it with the ends of their parts, and the ids as little-endian
     integers of 2 bytes (4 where the vocabulary needs it), without padding.
 

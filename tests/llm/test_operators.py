@@ -339,6 +339,16 @@ def test_packing_keeps_order_and_ids(spark, docs):
     assert at == len(want)
 
 
+def test_packing_drops_no_id(spark):
+    tok = tokenizer()
+    texts = {1: "words without any stop " * 3000, 2: "A short one. It ends.", 3: "漢字仮名交じり文。" * 1500, 4: "x9" * 20_000, 5: "\n".join("Sentences of some length, one after the other. " * 9 for _ in range(60))}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), capacity=256).orderBy("window").collect()
+    assert all(r.n_truncated == 0 and r.n_tokens <= 256 for r in rows)
+    want = np.concatenate([np.append(tok.encoding.encode_ordinary(t), 50256) for t in texts.values()])
+    assert np.array_equal(np.concatenate([np.frombuffer(r.tokens, "<u2") for r in rows]), want)
+    assert sum(r.n_padding for r in rows) < 0.05 * len(want)
+
+
 def test_packing_awkward(spark, awkward, empty):
     rows = packing.pack(awkward).collect()
     assert {d for r in rows for d in r.doc_ids} == {None, 3, 4, 5, 6, 7, 8}
