@@ -35,8 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of token ids."""
-    return packing.pack(docs)
+    """Windows of token ids over mixing's shards, each in its shuffled order; both are found again from what mixing kept."""
+    mixed = mixing.mixed_order(docs)
+    shard, position = mixed.columns[-2:]
+    return packing.pack(mixed, shard_col=shard, order_col=position)
 
 
 STAGES = [

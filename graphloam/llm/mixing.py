@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_names, ship_package
@@ -81,6 +81,11 @@ def block_quotas(counts: list[int], weights: list[float], block: int) -> list[in
     return [min(n // block, math.floor(room * w / total + 1e-9)) if w > 0 else 0 for n, w in zip(counts, weights)]
 
 
+def _range(key: Column, n: Column) -> Column:
+    """The range of a signed 64-bit hash among ``n`` equal ones: by ranges the order of all keys doesn't depend on how many there are."""
+    return F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * n / F.lit(1 << 32)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -107,20 +112,38 @@ def mix_sources(
     empty table gives no rows. Other columns pass through whatever their names; the two new ones take leading underscores where the name
     is taken.
     """
+    names, counts = _sources(docs, source_col)
+    block = max(block_docs, -(-sum(counts) // MOST_BLOCKS))
+    target = [float(weights.get(n, 0)) for n in names] if weights is not None else [float(n) ** temperature if n >= block else 0.0 for n in counts]
+    return _deal(docs, names, counts, block_quotas(counts, target, block), block, id_col, text_col, source_col, shard_docs, bucket_docs, seed)
+
+
+def mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_docs: int = 4, shard_docs: int = 4096, bucket_docs: int = 20_000, seed: int = 17) -> DataFrame:
+    """All of ``docs``, with ``shard`` and ``position``: for what :func:`mix_sources` gave, those that it gave with the same arguments.
+
+    A source's sample is the beginning of its permuted order, so the order of the sample alone is enough to find them again.
+    """
+    names, counts = _sources(docs, source_col)
+    block = max(block_docs, -(-sum(counts) // MOST_BLOCKS))
+    return _deal(docs, names, counts, [-(-n // block) for n in counts], block, id_col, text_col, source_col, shard_docs, bucket_docs, seed)
+
+
+def _sources(docs: DataFrame, source_col: str) -> tuple[list[str | None], list[int]]:
+    found = sorted(docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect(), key=lambda r: (r.s is None, r.s or ""))
+    return [r.s for r in found], [r["count"] for r in found]
+
+
+def _deal(docs: DataFrame, names: list, counts: list[int], quotas: list[int], block: int, id_col: str, text_col: str, source_col: str, shard_docs: int, bucket_docs: int, seed: int) -> DataFrame:
+    """The quotas' blocks of each source's permuted order, dealt to shards."""
     spark = docs.sparkSession
     ship_package(spark)
     ix, rank, order, bucket, base, shard, position = fresh_names(docs, "source_ix", "rank", "order_key", "bucket", "base", "shard", "position")
-    found = sorted(docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect(), key=lambda r: (r.s is None, r.s or ""))
-    names, counts = [r.s for r in found], [r["count"] for r in found]
-    block = max(block_docs, -(-sum(counts) // MOST_BLOCKS))
-    target = [float(weights.get(n, 0)) for n in names] if weights is not None else [float(n) ** temperature if n >= block else 0.0 for n in counts]
-    quotas = block_quotas(counts, target, block)
     tree = SplittingTree(quotas or [0], max(1, round(sum(quotas) * block / shard_docs)), seed)
     wanted = [(i, n, max(1, -(-c // bucket_docs))) for i, (n, c, q) in enumerate(zip(names, counts, quotas)) if q]
     known = spark.createDataFrame(wanted, f"{ix} int, s string, nb long")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     named = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col("s")) if "s" not in docs.columns else docs[source_col].cast("string").eqNullSafe(known["s"]))
-    keyed = named.select(*(docs[f"`{c}`"] for c in docs.columns), known[ix], key.alias(order), F.pmod(key, known["nb"]).alias(bucket))
+    keyed = named.select(*(docs[f"`{c}`"] for c in docs.columns), known[ix], key.alias(order), _range(key, known["nb"]).alias(bucket))
     sizes = keyed.groupBy(ix, bucket).count()
     before = Window.partitionBy(ix).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(ix, bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))

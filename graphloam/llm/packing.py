@@ -146,10 +146,10 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
         yield shard.windows(capacity, over, split, width)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = 2048, over: int = 4, split: int = 16, shard_ids: int = 1024, eot: int | None = 50256) -> DataFrame:
-    """Windows of at most ``capacity`` ids over the documents in the order of their ids.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = 2048, over: int = 4, split: int = 16, shard_ids: int = 1024, eot: int | None = 50256, shard_col: str | None = None, order_col: str | None = None) -> DataFrame:
+    """Windows of at most ``capacity`` ids over the documents in the order of their ids, or of ``order_col``.
 
-    A shard is ``shard_ids`` consecutive ids; in each, the cuts minimise padding plus ``split`` a cut inside a document,
+    A shard is ``shard_ids`` consecutive ids, or what has the same number in ``shard_col``; in each, the cuts minimise padding plus ``split`` a cut inside a document,
     ``over`` times that inside a sentence. Windows end at documents' or sentences' ends; a sentence longer than a window
     may be cut after its words too, and where there are none for a whole window, at steps of a 32nd of one. No id is
     ever dropped: ``n_truncated`` is 0. ``eot`` follows each document (None: nothing does). Row: the shard and the
@@ -161,6 +161,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
     ignored.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.floor(F.col(id_col).cast("long") / shard_ids).cast("long").alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "id", F.xxhash64("text"))
+    shard = F.floor(F.col(id_col).cast("long") / shard_ids) if shard_col is None else F.col(shard_col)
+    order = F.col(id_col if order_col is None else order_col).cast("long").alias("place")
+    rows = docs.select(shard.cast("long").alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), order)
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "place", "id", F.xxhash64("text"))
     return ordered.mapInArrow(partial(_pack, vocab=vocab, capacity=capacity, over=over, split=split, eot=eot), SCHEMA)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from graphloam.llm import mixing
 from graphloam.llm.tokens import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,30 @@ def test_windows_hold_the_mixed_documents(staged):
     assert {d for r in rows for d in r.doc_ids} == {r.doc_id for r in docs if r.text}
 
 
+def test_windows_follow_the_mixed_order(spark, staged):
+    want = {}
+    for r in mixing.mix_sources(staged[3]).orderBy("shard", "position").collect():
+        if r.text:
+            want.setdefault(r.shard, []).append(r.doc_id)
+    got = {}
+    for r in staged[5].orderBy("shard", "window").collect():
+        for d in r.doc_ids:
+            mine = got.setdefault(r.shard, [])
+            if not mine or mine[-1] != d:
+                mine.append(d)
+    assert got == want
+    assert any(ids != sorted(ids) for ids in got.values())
+
+
+def test_order_is_found_again(spark):
+    rows = [(i * 7919, f"text {i}", f"s{i % 3 if i % 10 else 0}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    args = {"shard_docs": 100, "bucket_docs": 50}
+    mixed = mixing.mix_sources(docs, **args)
+    again = mixing.mixed_order(mixed.select(*docs.columns), **args)
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_run_gives_the_stages_result(spark, staged):
     got = {(r.shard, r.window): r.tokens for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {(r.shard, r.window): r.tokens for r in staged[5].collect()}
