@@ -81,6 +81,24 @@ def block_quotas(counts: list[int], weights: list[float], block: int) -> list[in
     return [min(n // block, math.floor(room * w / total + 1e-9)) if w > 0 else 0 for n, w in zip(counts, weights)]
 
 
+def default_targets(counts: list[int], temperature: float) -> list[float]:
+    """Rows wanted of each source: n ** temperature * size ** (1 - temperature), with a size typical of a row's source.
+
+    The size is the geometric mean of the sources' rows, each source weighing as its rows: a nearly empty one barely
+    moves it. Sources above it are thinned out; those below want more than they have.
+    """
+    total = sum(counts)
+    if not total:
+        return [0.0] * len(counts)
+    size = math.exp(sum(n * math.log(n) for n in counts) / total)
+    return [n**temperature * size ** (1 - temperature) for n in counts]
+
+
+def default_quotas(counts: list[int], temperature: float, block: int) -> list[int]:
+    """Blocks of each source for its default target, at most all; the last block of a source may be short."""
+    return [-(-min(n, math.ceil(t - 1e-6)) // block) for n, t in zip(counts, default_targets(counts, temperature))]
+
+
 def _range(key: Column, n: Column) -> Column:
     """The range of a signed 64-bit hash among ``n`` equal ones: by ranges the order of all keys doesn't depend on how many there are."""
     return F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * n / F.lit(1 << 32)).cast("long")
@@ -100,22 +118,23 @@ def mix_sources(
 ) -> DataFrame:
     """A sample of ``docs`` without replacement whose sources have the target weights, dealt to shards, with ``shard`` and ``position``.
 
-    ``weights`` maps each source to its target (absent: 0; the null source has the key None); without it the target is
-    the source's number of rows to the power of ``temperature``. Each source gets the largest number of blocks of
-    ``block_docs`` rows that keeps the weights. The tree splits these quotas exactly among shards of about
+    ``weights`` maps each source to its target (absent: 0; the null source has the key None), and each source gets the
+    largest number of blocks of ``block_docs`` rows that keeps the weights. Without it the targets are those of
+    :func:`default_targets`, and a source that has fewer rows gives them all: no source limits another.
+    :func:`quota_report` tells shares and targets. The tree splits these quotas exactly among shards of about
     ``shard_docs`` rows; a shard takes its blocks from the source's rows in permuted order, disjoint from all other
     shards', and its rows are shuffled among each other.
 
     Null texts are rows like others; a null source is a source; null and repeated doc_ids are rows of their own, ties
-    of the permutation being settled by the text's hash. A source with fewer than ``block_docs`` rows and a positive weight leaves
-    no room for any block, so the result is then empty unless its weight is set to 0; the default weights do this. An
+    of the permutation being settled by the text's hash. With ``weights``, a source with fewer than ``block_docs`` rows and a positive weight leaves
+    no room for any block, so the result is then empty unless its weight is set to 0. An
     empty table gives no rows. Other columns pass through whatever their names; the two new ones take leading underscores where the name
     is taken.
     """
     names, counts = _sources(docs, source_col)
     block = max(block_docs, -(-sum(counts) // MOST_BLOCKS))
-    target = [float(weights.get(n, 0)) for n in names] if weights is not None else [float(n) ** temperature if n >= block else 0.0 for n in counts]
-    return _deal(docs, names, counts, block_quotas(counts, target, block), block, id_col, text_col, source_col, shard_docs, bucket_docs, seed)
+    quotas = default_quotas(counts, temperature, block) if weights is None else block_quotas(counts, [float(weights.get(n, 0)) for n in names], block)
+    return _deal(docs, names, counts, quotas, block, id_col, text_col, source_col, shard_docs, bucket_docs, seed)
 
 
 def mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_docs: int = 4, shard_docs: int = 4096, bucket_docs: int = 20_000, seed: int = 17) -> DataFrame:
@@ -128,6 +147,17 @@ def mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _deal(docs, names, counts, [-(-n // block) for n in counts], block, id_col, text_col, source_col, shard_docs, bucket_docs, seed)
 
 
+def quota_report(docs: DataFrame, source_col: str = "source", weights: dict | None = None, temperature: float = 0.5, block_docs: int = 4) -> list[tuple[str | None, int, float, float]]:
+    """(source, rows, target share, share of the sample) for :func:`mix_sources` with the same arguments."""
+    names, counts = _sources(docs, source_col)
+    block = max(block_docs, -(-sum(counts) // MOST_BLOCKS))
+    target = default_targets(counts, temperature) if weights is None else [float(weights.get(n, 0)) for n in names]
+    quotas = default_quotas(counts, temperature, block) if weights is None else block_quotas(counts, target, block)
+    rows = [min(n, q * block) for n, q in zip(counts, quotas)]
+    wanted, taken = sum(t for t in target if t > 0) or 1, sum(rows) or 1
+    return [(s, n, max(t, 0) / wanted, r / taken) for s, n, t, r in zip(names, counts, target, rows)]
+
+
 def _sources(docs: DataFrame, source_col: str) -> tuple[list[str | None], list[int]]:
     found = sorted(docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect(), key=lambda r: (r.s is None, r.s or ""))
     return [r.s for r in found], [r["count"] for r in found]
@@ -142,7 +172,7 @@ def _deal(docs: DataFrame, names: list, counts: list[int], quotas: list[int], bl
     wanted = [(i, n, max(1, -(-c // bucket_docs))) for i, (n, c, q) in enumerate(zip(names, counts, quotas)) if q]
     known = spark.createDataFrame(wanted, f"{ix} int, s string, nb long")
     key = F.xxhash64(F.lit(seed), F.col(id_col))
-    named = docs.join(known, F.col(source_col).cast("string").eqNullSafe(F.col("s")) if "s" not in docs.columns else docs[source_col].cast("string").eqNullSafe(known["s"]))
+    named = docs.join(F.broadcast(known), F.col(source_col).cast("string").eqNullSafe(F.col("s")) if "s" not in docs.columns else docs[source_col].cast("string").eqNullSafe(known["s"]))
     keyed = named.select(*(docs[f"`{c}`"] for c in docs.columns), known[ix], key.alias(order), _range(key, known["nb"]).alias(bucket))
     sizes = keyed.groupBy(ix, bucket).count()
     before = Window.partitionBy(ix).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

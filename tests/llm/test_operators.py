@@ -374,6 +374,17 @@ def test_mixing_quotas(spark, docs):
         assert sorted(r.position for r in mine) == list(range(1, len(mine) + 1))
 
 
+def test_a_small_source_limits_no_other(spark):
+    sizes = {"big": 4000, "middle": 900, "few": 4, "one": 1}
+    docs = spark.createDataFrame([(i, f"text {i}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id bigint, text string, source string")
+    got = {r.source: r["count"] for r in mixing.mix_sources(docs, shard_docs=500).groupBy("source").count().collect()}
+    assert got["one"] == 1 and got["few"] == 4 and got["middle"] == 900 and 3000 < got["big"] < 4000
+    assert {s: round(share * sum(got.values())) for s, _, _, share in mixing.quota_report(docs)} == got
+    assert sum(t for _, _, t, _ in mixing.quota_report(docs)) == pytest.approx(1)
+    big, few = mixing.default_quotas([1_000_000, 4], 0.5, 4)
+    assert big > 249_000 and few == 1
+
+
 def test_splitting_tree_is_exact():
     tree = mixing.SplittingTree([50, 7, 0, 900], 13, 3)
     shares = tree.shares()
