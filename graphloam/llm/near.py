@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_table, fresh_names, ship_package, write_table
-from .banding import BLOBS, BlobWriter, blob_parts, candidate_groups, verified_edges
+from .banding import BLOBS, BlobWriter, bitmap, blob_parts, candidate_groups, maybe_in, verified_edges
 from .components import components
 from .kernels import band_keys, buffers, prob_minhash, probability_jaccard, slices, weighted_shingles
 
@@ -40,6 +41,17 @@ def _keys(batches, k: int, registers: int, bands: int, parts: int):
     yield from out.flush()
 
 
+def _candidate_texts(batches, bits: np.ndarray):
+    """Texts that may be candidates, each once; the others don't leave their task."""
+    seen: set[int] = set()
+    for b in batches:
+        node = b.column(0).to_numpy()
+        may = np.flatnonzero(maybe_in(bits, node))
+        may = [i for i, x in zip(may.tolist(), node[may].tolist()) if not (x in seen or seen.add(x))]
+        if may:
+            yield b.take(pa.array(may))
+
+
 def weighted_sets(column, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted elements of each text's word shingles with their counts."""
     raw, offsets = buffers(column)
@@ -63,8 +75,8 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, k
     rows = docs.where(F.trim(text) != "").select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.xxhash64(text).alias("node"), text.alias("text"))
     blobs = rows.select("node", "text").mapInArrow(partial(_keys, k=k, registers=registers, bands=bands, parts=blob_parts(docs)), BLOBS)
     candidates = write_table(candidate_groups(blobs), "near-candidates")
-    wanted = candidates.select("node").distinct()
-    texts = rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    found = rows.select("node", "text").mapInArrow(partial(_candidate_texts, bits=bitmap(candidates, "node")), "node bigint, text string")
+    texts = found.groupBy("node").agg(F.first("text").alias("text"))
     comps = components(verified_edges(candidates, texts, partial(weighted_sets, k=k), partial(_similar, threshold=threshold)))
     drop_table(candidates)
     members = rows.groupBy("id", "row_key", "node").agg(F.count("*").alias("n"))
