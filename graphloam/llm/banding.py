@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_table, write_table
+from .components import components
 from .kernels import U64
 
 BLOBS = "pid int, keys binary, nodes binary"
@@ -106,49 +109,144 @@ def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
 
-def link(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that join the items just as all similar pairs would; a pair already joined isn't compared."""
-    if n == 2:
+class Prefixes:
+    """Which items may be similar to one, through an inverted index of each item's rarest elements.
+
+    Two items whose common elements hold at least ``threshold`` of either's weight share one of those elements that come,
+    rarest first, before the rest weighs less than that. Jaccard similarity and probability Jaccard both need as much.
+    """
+
+    def __init__(self, elements: list[np.ndarray], threshold: float, weights: list[np.ndarray] | None = None):
+        sizes = np.array([len(e) for e in elements])
+        self.items = len(elements)
+        item = np.repeat(np.arange(self.items), sizes)
+        _, token, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+        order = np.lexsort((token, count[token], item))
+        weight = np.ones(len(item)) if weights is None else np.concatenate(weights).astype(float)[order]
+        total = np.bincount(item, weight, minlength=self.items)
+        before = np.cumsum(weight) - weight
+        rest = total[item] - (before - (np.cumsum(total) - total)[item])
+        kept = rest >= (threshold - 1e-6) * total[item]
+        self.token, item = token[order][kept], item[kept]
+        self.at = np.searchsorted(item, np.arange(self.items + 1))
+        order = np.argsort(self.token, kind="stable")
+        self.posting = item[order]
+        self.start = np.searchsorted(self.token[order], np.arange(len(count) + 1))
+
+    def of(self, i: int) -> np.ndarray:
+        """A mask of the items that may be similar to ``i``."""
+        token = self.token[self.at[i] : self.at[i + 1]]
+        start = self.start[token]
+        n = self.start[token + 1] - start
+        out = np.zeros(self.items, bool)
+        out[self.posting[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return out
+
+
+def link(n: int, similar: Callable[[int, np.ndarray], np.ndarray], comp: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    """Edges that join the items just as all similar pairs would; a pair already joined isn't compared.
+
+    With ``comp`` the items are joined so from the start, with ``first`` only pairs with one of the first items are looked at.
+    """
+    if n == 2 and comp is None:
         return [(0, 1)] if similar(0, np.array([1]))[0] else []
-    comp, edges = np.arange(n), []
-    for i in range(n - 1):
+    comp, edges = np.arange(n) if comp is None else comp.copy(), []
+    for i in range(n - 1 if first is None else first):
         js = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         if len(js):
-            for j in js[similar(i, js)].tolist():
-                if comp[j] != comp[i]:
-                    edges.append((i, j))
-                    comp[comp == comp[j]] = comp[i]
+            js = js[similar(i, js)]
+            if len(js):
+                found, at = np.unique(comp[js], return_index=True)
+                edges += [(i, j) for j in js[at].tolist()]
+                comp[np.isin(comp, found)] = comp[i]
     return edges
 
 
-def verified_edges(candidates: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable) -> DataFrame:
-    """(a, b): within each group of ``candidates``, edges that join what its verified pairs join.
+def _edges(pairs: list[tuple[int, int]]):
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+
+
+def _check(batches, prepare: Callable, matcher: Callable):
+    """Rows of (grp, blk, node, text) come block by block: links inside each."""
+    block, nodes, items = None, [], []
+
+    def done():
+        return [(nodes[i], nodes[j]) for i, j in link(len(nodes), matcher(items))] if len(nodes) > 1 else []
+
+    for b in batches:
+        edges = []
+        for key, node, item in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), prepare(b.column(3))):
+            if key != block:
+                edges += done()
+                block, nodes, items = key, [], []
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                items.append(item)
+        yield from _edges(edges)
+    yield from _edges(done())
+
+
+def _check_across(batches, prepare: Callable, matcher: Callable):
+    """Rows of (grp, few, many, role, root, node, text) come by pairs of blocks, the few first: links between items that have different roots."""
+    pair, nodes, roots, items, first = None, [], [], [], 0
+
+    def done():
+        if not 0 < first < len(nodes):
+            return []
+        return [(nodes[i], nodes[j]) for i, j in link(len(nodes), matcher(items), np.unique(roots, return_inverse=True)[1], first)]
+
+    for b in batches:
+        edges = []
+        for key, role, root, node, item in zip(zip(*(b.column(i).to_pylist() for i in range(3))), *(b.column(i).to_pylist() for i in range(3, 6)), prepare(b.column(6))):
+            if key != pair:
+                edges += done()
+                pair, nodes, roots, items, first = key, [], [], [], 0
+            nodes.append(node)
+            roots.append(root)
+            items.append(item)
+            first += role == 0
+        yield from _edges(edges)
+    yield from _edges(done())
+
+
+def linked(candidates: DataFrame, texts: DataFrame, prepare: Callable, matcher: Callable, block: int) -> DataFrame:
+    """(node, root) of the components that the verified pairs within the groups of ``candidates`` make.
 
     ``texts`` (node, text) may repeat a node. ``prepare(text column)`` gives what is known of each text of a batch as a
-    list, ``similar(items, i, js)`` which of ``js`` are similar to ``i``.
-    """
+    list, ``matcher(items)`` a function of (i, js) that tells which of ``js`` are similar to ``i``.
 
-    def check(batches):
-        group, nodes, items = None, [], []
-
-        def done():
-            found = link(len(nodes), lambda i, js: similar(items, i, js))
-            return [(nodes[i], nodes[j]) for i, j in found]
-
-        for b in batches:
-            edges = []
-            for g, node, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), prepare(b.column(2))):
-                if g != group:
-                    edges += done()
-                    group, nodes, items = g, [], []
-                if not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    items.append(item)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
-        edges = done()
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
-
-    ready = candidates.join(texts, "node").select("grp", "node", "text").repartition("grp").sortWithinPartitions("grp", "node")
-    return ready.mapInArrow(check, "a bigint, b bigint")
+    A group of more than ``block`` nodes is split, and its first node goes to each block too, so that variants of one
+    text are all joined there. Where a group still isn't one component, its nodes outside the largest one are compared
+    with all others, block by block: no link between different texts is lost, and no task holds more than two blocks.
+    """
+    sizes = write_table(candidates.groupBy("grp").count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block)), "hot-groups")
+    hot = not sizes.isEmpty()
+    rows = candidates.select("grp", F.lit(0).cast("long").alias("blk"), "node")
+    if hot:
+        number = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0).cast("long"))
+        rows = candidates.join(sizes, "grp", "left").select("grp", number.alias("blk"), "node")
+        rows = rows.union(sizes.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), F.col("grp")))
+    ready = rows.join(texts, "node").select("grp", "blk", "node", "text").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "node")
+    comps = components(ready.mapInArrow(partial(_check, prepare=prepare, matcher=matcher), "a bigint, b bigint"))
+    if not hot:
+        drop_table(sizes)
+        return comps
+    members = candidates.join(sizes.select("grp"), "grp").join(comps, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    members = write_table(members, "hot-members")
+    roots = members.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("roots"))
+    roots = roots.where("roots > 1")
+    apart = members.join(roots.select("grp", "main"), "grp").where("root <> main")
+    apart = write_table(apart.groupBy("grp").count().join(roots.select("grp", "main", "n"), "grp").select("grp", "main", F.ceil(F.col("count") / block).alias("fews"), F.ceil(F.col("n") / block).alias("manys")), "hot-apart")
+    if apart.isEmpty():
+        return comps
+    split = members.join(apart, "grp")
+    few = split.where("root <> main").select("grp", F.pmod(F.xxhash64("node"), F.col("fews")).alias("few"), F.explode(F.expr("sequence(0L, manys - 1)")).alias("many"), F.lit(0).alias("role"), "root", "node")
+    many = split.select("grp", F.explode(F.expr("sequence(0L, fews - 1)")).alias("few"), F.pmod(F.xxhash64("node"), F.col("manys")).alias("many"), F.lit(1).alias("role"), "root", "node")
+    pairs = few.union(many).join(texts, "node").select("grp", "few", "many", "role", "root", "node", "text")
+    pairs = pairs.repartition("grp", "few", "many").sortWithinPartitions("grp", "few", "many", "role", "node")
+    across = pairs.mapInArrow(partial(_check_across, prepare=prepare, matcher=matcher), "a bigint, b bigint")
+    out = components(comps.select("node", "root").union(across))
+    for table in (sizes, members, apart, comps):
+        drop_table(table)
+    return out

@@ -59,3 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
         if settled:
             return now
+
+
+def with_roots(comps: DataFrame) -> DataFrame:
+    """The components with their least nodes as members too."""
+    return comps.select("node", "root").union(comps.select("root", F.col("root")).distinct())

@@ -8,12 +8,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_table, fresh_names, ship_package, write_table
-from .banding import BLOBS, BlobWriter, bitmap, blob_parts, candidate_groups, maybe_in, verified_edges
-from .components import components
+from .banding import BLOBS, BlobWriter, Prefixes, bitmap, blob_parts, candidate_groups, linked, maybe_in
+from .components import with_roots
 from .kernels import U64, band_keys, buffers, codepoints, independent_minhash, line_shingles, one_permutation, slices, sorted_sets
 
 _SLICE = 1 << 19
@@ -135,24 +135,38 @@ def jaccard_at_least(items: list[np.ndarray], i: int, js: np.ndarray, threshold:
     return out
 
 
-def similar_lines(texts: DataFrame, threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5) -> DataFrame:
+def _matcher(items: list[np.ndarray], threshold: float):
+    if len(items) <= 32:
+        return partial(jaccard_at_least, items, threshold=threshold)
+    prefixes = Prefixes(items, threshold)
+
+    def similar(i: int, js: np.ndarray) -> np.ndarray:
+        may = prefixes.of(i)[js]
+        if may.any():
+            may[may] = jaccard_at_least(items, i, js[may], threshold)
+        return may
+
+    return similar
+
+
+def similar_lines(texts: DataFrame, threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5, block: int = 4096) -> DataFrame:
     """(node, root): distinct lines, as xxhash64 of the line, and the least line of their component."""
     parts = blob_parts(texts)
     blobs = texts.mapInArrow(partial(_keys, k=k, bands=bands, rows=rows, parts=parts), BLOBS)
     candidates = write_table(candidate_groups(blobs), "line-candidates")
     found = texts.mapInArrow(partial(_texts, bits=bitmap(candidates, "node")), "node bigint, text string")
-    edges = verified_edges(candidates, found, partial(shingle_sets, k=k), partial(jaccard_at_least, threshold=threshold))
-    out = components(edges)
+    out = linked(candidates, found, partial(shingle_sets, k=k), partial(_matcher, threshold=threshold), block)
     drop_table(candidates)
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 6, bands: int = 10, rows: int = 5, block: int = 4096) -> DataFrame:
     """The rows of ``docs`` with each text's repeated lines taken out, and the counts ``n_lines`` and ``n_dropped``.
 
     Lines are joined where the Jaccard similarity of their sets of ``k`` lower-cased characters is at least
     ``threshold``; each component of the whole table keeps its first line by doc_id (nulls last), the text's hash and the line's place, and all
-    others go. ``bands`` of ``rows`` MinHash values find the candidates; each is verified exactly.
+    others go. ``bands`` of ``rows`` MinHash values find the candidates; each is verified exactly, groups of more than
+    ``block`` lines in blocks. Lines without a similar one are the same where 128 bits of hashes are.
 
     Blank lines always stay, and a line shorter than ``k`` is one shingle. A null text stays null with null counts; an
     empty text stays. Repeated rows (same doc_id and text) are one document and come out alike. An empty table gives no
@@ -161,21 +175,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ship_package(spark)
-    key, line, dropped, n_lines, n_dropped = fresh_names(docs, "row_key", "line", "dropped", "n_lines", "n_dropped")
+    key, same, dropped, n_lines, n_dropped = fresh_names(docs, "row_key", "row_id", "dropped", "n_lines", "n_dropped")
     text = F.col(text_col)
     row_key = F.xxhash64(F.col(id_col), text)
-    comps = similar_lines(docs.select(text.alias("text")), threshold, k, bands, rows)
-    exploded = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), row_key.alias("k"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    places = write_table(exploded.where("trim(line) <> ''").select("id", "k", "n", F.xxhash64("line").alias("h")), "line-places")
+    comps = similar_lines(docs.select(text.alias("text")), threshold, k, bands, rows, block)
+    exploded = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), row_key.alias("k"), F.split(text, "\n").alias("lines")).select("id", "k", F.posexplode("lines").alias("n", "line"))
+    hashes = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("more"))
+    places = write_table(exploded.where("trim(line) <> ''").select("id", "k", "n", *hashes), "line-places")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "n")
-    contents = places.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    contents = contents.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("root", "h"))
-    first = contents.groupBy("c").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("c", "keep")
-    repeated = contents.select("h", "c").join(first, "c").select("h", "keep")
-    gone = places.join(repeated, "h").where(~place.eqNullSafe(F.col("keep")))
-    gone = gone.groupBy(F.col("k").alias(key)).agg(F.collect_set("n").alias(dropped))
-    joined = docs.withColumn(key, row_key).join(gone, key, "left")
-    left = F.when(F.col(dropped).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(dropped), i)), "\n"))
+    contents = places.groupBy("h", "more").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(with_roots(comps).withColumnRenamed("node", "h"), "h", "left")
+    contents = contents.select("h", "more", "n", "first", F.coalesce("root", "h").alias("c"), F.when(F.col("root").isNull(), F.col("more")).otherwise(F.lit(0)).alias("d"))
+    first = contents.groupBy("c", "d").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("c", "d", "keep")
+    repeated = contents.select("h", "more", "c", "d").join(first, ["c", "d"]).select("h", "more", "keep")
+    gone = places.join(repeated, ["h", "more"]).where(~place.eqNullSafe(F.col("keep")))
+    gone = gone.groupBy(F.col("k").alias(key), F.col("id").alias(same)).agg(F.array_sort(F.collect_set("n")).alias(dropped))
+    keyed = docs.withColumn(key, row_key)
+    joined = keyed.join(gone, (keyed[key] == gone[key]) & keyed[id_col].eqNullSafe(gone[same]), "left")
+
+    def rest(of: Column) -> Column:
+        """The lines between those that go, in one pass over each."""
+        ends = F.concat(F.col(dropped), F.array(F.size(of)))
+        return F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), F.col(dropped)), ends, lambda a, b: F.slice(of, a + 2, b - a - 1)))
+
+    kept = F.element_at(F.transform(F.array(F.split(text, "\n")), rest), 1)
+    left = F.when(F.col(dropped).isNull(), text).otherwise(F.array_join(kept, "\n"))
     n = F.when(text.isNotNull(), F.size(F.split(text, "\n")))
     counts = {n_lines: n, n_dropped: F.when(text.isNotNull(), F.coalesce(F.size(dropped), F.lit(0)))}
     return joined.select(*(left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *(v.alias(c) for c, v in counts.items()))

@@ -124,14 +124,15 @@ def test_quality_has_no_python(docs):
 # 3
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("part_bytes", [1 << 25, 1500])
+def test_neighbours_recall(spark, part_bytes):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
     x[7] = x[8]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
     found = {}
-    for r in ann.neighbours(df, k=5, branch=4, leaf_rows=40, sample=100).collect():
+    for r in ann.neighbours(df, k=5, branch=4, sample=100, part_bytes=part_bytes).collect():
         found.setdefault(r.id, set()).add(r.neighbour)
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = y @ y.T
@@ -149,16 +150,61 @@ def test_neighbours_awkward(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
-def test_best_breaks_ties_by_id():
-    x = np.ones((6, 2), np.float32)
-    n, _ = ann._best(x, np.array([9, 3, 5, 1, 7, 2]), x[:1], 2, np.array([9]))
-    assert n[0][:2].tolist() == [1, 2]
+def exact_neighbours(rows, k, asked):
+    """By brute force: {id: its k best other ids, similarity rounded as the operator does, ties by id}."""
+    ids = np.array([i for i, _ in rows], object)
+    x = np.array([v for _, v in rows], np.float64)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    out = {}
+    for i in sorted(set(ids.tolist())):
+        if asked(i):
+            best = {}
+            for j, s in zip(ids.tolist(), np.round(x[ids == i] @ x.T, 5).max(axis=0).tolist()):
+                if j != i:
+                    best[j] = max(s, best.get(j, -9))
+            out[i] = [j for j, _ in sorted(best.items(), key=lambda p: (-p[1], p[0]))][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_neighbours_with_copies_are_exact(spark, kind):
+    """Rows doubled, one vector under 50 ids, one id with 30 vectors; with all leaves visited the result is exact."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(400)] * 2 + [(500 + i, x[7].tolist()) for i in range(50)] + [(3, (x[9] + 0.01 * rng.normal(size=8)).astype(np.float32).tolist()) for _ in range(30)]
+    rows = [(i if kind == "bigint" else f"v{i:04d}", v) for i, v in rows]
+    df = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<float>").repartition(4)
+    queries = (F.col("vec_id") % 20 == 0) if kind == "bigint" else F.col("vec_id").endswith("5")
+    want = exact_neighbours(rows, 10, (lambda i: i % 20 == 0) if kind == "bigint" else (lambda i: i.endswith("5")))
+    got = {}
+    for r in ann.neighbours(df, recall=1.0, branch=4, sample=1000, part_bytes=4000, queries=queries).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got.keys() == want.keys()
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.97 and all(len(v) == len(set(v)) == 10 for v in got.values())
+
+
+def test_neighbours_of_many_equal_vectors(spark):
+    df = spark.range(50_000).selectExpr("id as vec_id", "array(1f, 2f, 3f) as embedding").union(spark.range(60_000, 60_300).selectExpr("id", "array(float(id % 7), 1f, float(id % 11))"))
+    got = ann.neighbours(df, queries=F.col("vec_id") % 20 == 0).where("id < 50000")
+    assert got.count() == 25_000 and got.where("neighbour > 11 or similarity < 0.9999").count() == 0
+
+
+def test_top_breaks_ties_by_code():
+    s = np.ones((1, 6), np.float32)
+    assert ann._top(s, np.array([1, 2, 3, 5, 7, 9]), 2)[1].tolist() == [[1, 2]]
+    assert ann._top(np.array([[0.5, 0.9, 0.5, 0.9]]), np.array([[4, 8, 4, 2]]), 3)[1].tolist() == [[2, 8, 4]]
+
+
+def test_parts_hold_no_more_than_they_may():
+    parts = ann.plan_parts({0: 3, 1: 4, 2: 25, 5: 6, 6: 5}, 10, 100)
+    assert parts == {0: (0, 1), 1: (0, 1), 2: (1, 3), 5: (4, 1), 6: (5, 1)}
 
 
 # 4
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_lines_against_brute_force(spark, block):
     texts, df = small_docs(spark, 3, 80)
     every = sorted({x for t in texts for x in t.split("\n")})
     sets = [set(s.tolist()) for s in lines.shingle_sets(pa.array(every), 6)]
@@ -173,7 +219,7 @@ def test_lines_against_brute_force(spark):
                 first.append(x)
             seen.add(group[x])
         want[d] = "\n".join(first)
-    got = {r.doc_id: r.text for r in lines.line_dedup(df).collect()}
+    got = {r.doc_id: r.text for r in lines.line_dedup(df, block=block).collect()}
     assert len(pairs) > 20 and np.mean([got[d] == want[d] for d in want]) >= 0.97
 
 
@@ -235,13 +281,14 @@ def test_probability_jaccard_and_signature():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
-def test_near_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_against_brute_force(spark, block):
     texts, df = small_docs(spark, 9, 80)
     sets = near.weighted_sets(pa.array(texts), 3)
     pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if kernels.probability_jaccard(*sets[i], *sets[j]) >= 0.5]
     comp = closure(len(texts), pairs)
     want = {(i, c) for i, c in enumerate(comp) if i != c}
-    got = {(r.doc_id, r.duplicate_of) for r in near.near_duplicates(df).collect()}
+    got = {(r.doc_id, r.duplicate_of) for r in near.near_duplicates(df, block=block).collect()}
     assert len(want) > 10 and len(want ^ got) <= 0.06 * len(want)
     kept = {r.doc_id for r in near.drop_near_duplicates(df).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in got}
@@ -533,5 +580,63 @@ def test_link_joins_what_all_pairs_join():
         assert closure(n, edges) == closure(n, good) and set(edges) <= good
 
 
+def chain(rng, n, changes):
+    """Texts of which each differs from the one before by some words: neighbours are similar, the ends are not."""
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    out = []
+    for _ in range(n):
+        for _ in range(changes):
+            words[rng.randrange(40)] = "".join(rng.choices("abcdefghij", k=6))
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_a_group_in_blocks_loses_no_link(spark, block):
+    """One group of two chains and of texts like no other, whole and in blocks, against all pairs."""
+    rng = random.Random(5)
+    texts = sorted({*chain(rng, 60, 1), *chain(rng, 60, 2), *("".join(rng.choices("abcdefgh", k=60)) for _ in range(60))})
+    sets = [set(x.tolist()) for x in lines.shingle_sets(pa.array(texts), 6)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    candidates = df.select(F.lit(0).cast("long").alias("grp"), "node")
+    prepare, matcher = (lambda c: lines.shingle_sets(c, 6)), (lambda items: lines._matcher(items, 0.8))
+    got = {r.node: r.root for r in banding.linked(candidates, df, prepare, matcher, block).collect()}
+    assert got == {i: c for i, c in enumerate(closure(len(texts), pairs)) if i != c} and len(got) > 50
+
+
+def test_many_unlike_lines_in_one_group(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(19_998)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[7] + "x", texts[9_000] + "y"])), "node bigint, text string")
+    candidates = df.select(F.lit(0).cast("long").alias("grp"), "node")
+    prepare, matcher = (lambda c: lines.shingle_sets(c, 6)), (lambda items: lines._matcher(items, 0.8))
+    got = {(r.node, r.root) for r in banding.linked(candidates, df, prepare, matcher, 4096).collect()}
+    assert got == {(19_998, 7), (19_999, 9_000)}
+
+
+def test_lines_of_one_long_document(spark):
+    rng = random.Random(7)
+    once = ["".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(100_000)]
+    text = "\n".join(x for x in once for _ in range(2))
+    (row,) = lines.line_dedup(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.n_lines == 200_000 and row.n_dropped == 100_000 and row.text == "\n".join(once)
+
+
+def test_prefixes_miss_nothing():
+    rng = np.random.default_rng(0)
+    sets = [np.sort(rng.choice(30, rng.integers(0, 20), replace=False)).astype(np.uint64) for _ in range(60)]
+    for t in (0.3, 0.5, 0.8):
+        found = banding.Prefixes(sets, t)
+        for i, j in itertools.permutations(range(60), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if a & b and len(a & b) >= t * len(a | b):
+                assert found.of(i)[j]
+    weights = [rng.integers(1, 6, len(x)).astype(float) for x in sets]
+    found = banding.Prefixes(sets, 0.4, weights)
+    near_ones = [(i, j) for i, j in itertools.permutations(range(60), 2) if kernels.probability_jaccard(sets[i], weights[i], sets[j], weights[j]) >= 0.4]
+    assert near_ones and all(found.of(i)[j] for i, j in near_ones)
+
+
 def test_members_have_no_time():
     assert warc.member(b"x") == warc.member(b"x") and zlib.decompress(warc.member(b"x"), 31) == b"x"
