@@ -16,12 +16,16 @@ from ..session import ship_package, write_table
 
 #: Broad candidates, a span of one kind each, in one pass from left to right. They may swallow neighbours, so each kind has patterns of its own too.
 CANDIDATE = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>\b[A-Za-z0-9+/_-]*\d[A-Za-z0-9+/_-]{18,}={0,2})"
+    r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
     r"|(?P<iban>\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){3,7}(?: ?[A-Za-z0-9]{1,3})?\b)"
     r"|(?P<number>\+?\(?\d[\d ().-]{5,}\d)"
 )
+#: Broad secrets are runs of these signs with a digit before the last 18; a run is looked at once, since a pattern that may begin at each of its hyphens takes the square of its length.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}+={0,2}")
+_EDGE = re.compile(r"\b(?=[A-Za-z0-9+/_-])")
+_DIGIT = re.compile(r"[0-9]")
+_LOCAL, _LOCAL_RUN, _AT = re.compile(r"[\w.+-]"), re.compile(r"[\w.+-]++"), re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 #: In a lookahead, so that a year before a number doesn't hide it: each place where a number begins is tried.
@@ -33,7 +37,7 @@ PLUS = re.compile(r"(?<![\w+])\+\d{1,15}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,12})){0,8}
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}")
 SECRET_FORM = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}"
-    r"|(?:sk|pk|rk)[-_](?:[A-Za-z0-9]+[-_]){0,3}[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|(?:hf|npm)_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?)"
+    r"|(?:sk|pk|rk)[-_](?:[A-Za-z0-9]+[-_]){0,3}[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|(?:hf|npm)_[A-Za-z0-9]{20,}|(?<![_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?)"
 )
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 GIVEN = re.compile(r"(?:(?:token|key|secret|passw(?:or)?d|pwd|credentials?)[\"']?\s{0,3}(?:=>|[:=])\s{0,3}|bearer )[\"']?$", re.I)
@@ -72,6 +76,43 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _next_secret(text: str, runs: list[tuple[int, int]], at: int) -> tuple[int, int] | None:
+    """The first broad secret from ``at`` on; ``runs``, last first, lose those that can't hold one any more."""
+    while runs:
+        start, end = runs[-1]
+        edge = _EDGE.search(text, max(start, at), end) if end > at else None
+        if edge and _DIGIT.search(text, edge.start(), len(text[start:end].rstrip("=")) + start - 18):
+            return edge.start(), end
+        runs.pop()
+    return None
+
+
+def _broad(text: str):
+    """(start, end, kind) of the broad candidates, from left to right without overlaps; an email goes before a secret, a secret before others."""
+    runs, at = [x.span() for x in RUN.finditer(text)][::-1], 0
+    m, secret, email, run_end = CANDIDATE.search(text), _next_secret(text, runs, 0), None, 0
+    while m or secret:
+        if secret and (not m or secret[0] < m.start() or secret[0] == m.start() and m.lastgroup != "email"):
+            yield *secret, "secret"
+            at = secret[1]
+        else:
+            yield *m.span(), _kind(m)
+            at = m.end()
+        while at and _LOCAL.match(text, at - 1) and _LOCAL.match(text, at):
+            # what came before took the beginning of an email's name
+            if at >= run_end:
+                run_end = _LOCAL_RUN.match(text, at).end()
+                email = _AT.match(text, run_end)
+            if not email:
+                break
+            yield at, email.end(), "email"
+            at = email.end()
+        if m and m.start() < at:
+            m = CANDIDATE.search(text, at)
+        if secret and secret[0] < at:
+            secret = _next_secret(text, runs, at)
+
+
 def _kind(m: re.Match) -> str | None:
     kind, s = m.lastgroup, m.group()
     if kind != "number":
@@ -168,10 +209,9 @@ def spans_of(text: str) -> dict[tuple[int, int, str], int]:
     def add(s, e, kind, rank):
         out[s, e, kind] = max(rank, out.get((s, e, kind), 0))
 
-    for m in CANDIDATE.finditer(text):
-        kind = _kind(m)
+    for start, end, kind in _broad(text):
         if kind is not None:
-            add(*m.span(), kind, 2 if kind in ("email", "ip", "ssn") else 0)
+            add(start, end, kind, 2 if kind in ("email", "ip", "ssn") else 0)
     stops = set()
     for kind, pattern, group in (("ip", IP, 0), ("card", CARD, 1), ("ssn", SSN, 0)):
         for m in pattern.finditer(text):
@@ -215,18 +255,16 @@ def candidates_of(text: str):
 _MAY = re.compile(r"[\d@]|[A-Za-z0-9+/_-]{16}")
 _SPAN = {"start": pa.int32(), "end": pa.int32(), "kind": pa.string(), "rank": pa.int32(), "votes": pa.int32(), "features": pa.int32()}
 #: A row for each text, so that overlaps can be settled in it once the scores are known.
-_FOUND = "doc_id bigint, spans array<struct<start: int, end: int, kind: string, rank: int, votes: int, features: int>>"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct(list(_SPAN.items()))))])
-_SCHEMA = "doc_id bigint, start int, end int, kind string, score double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
+_SPANS = "array<struct<start: int, end: int, kind: string, rank: int, votes: int, features: int>>"
 
 
 def _find(batches):
     for b in batches:
-        rows = [(doc_id, [dict(zip(_SPAN, c)) for c in candidates_of(text)]) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text and _MAY.search(text)]
-        rows = [r for r in rows if r[1]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND_ARROW)], schema=_FOUND_ARROW)
+        found = [(i, [dict(zip(_SPAN, c)) for c in candidates_of(text)]) for i, text in enumerate(b.column(1).to_pylist()) if text and _MAY.search(text)]
+        found = [x for x in found if x[1]]
+        if found:
+            at, spans = zip(*found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(spans, pa.list_(pa.struct(list(_SPAN.items()))))], ["doc_id", "spans"])
 
 
 def settle(spans: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
@@ -252,11 +290,12 @@ def _settle(batches, weights: list[float], intercept: float, threshold: float):
 
     for b in batches:
         rows = []
-        for doc_id, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for i, spans in enumerate(b.column(1).to_pylist()):
             scored = ((x["start"], x["end"], x["kind"], x["rank"], score(x["features"])) for x in spans)
-            rows += [(doc_id, s, e, kind, p) for s, e, kind, _, p in settle([x for x in scored if x[4] >= threshold])]
+            rows += [(i, s, e, kind, p) for s, e, kind, _, p in settle([x for x in scored if x[4] >= threshold])]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+            at, *rest = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.string(), pa.float64())))], ["doc_id", "start", "end", "kind", "score"])
 
 
 def estimate(votes: np.ndarray, kind: np.ndarray, count: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -308,13 +347,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     vote on each. EM over the counts of all vote patterns of the table estimates the labelers, and a logistic classifier of
     discrete features, trained on EM's probabilities of all candidates, scores each span. Only then are overlaps settled.
 
-    Null and empty texts have no spans. A null doc_id keeps its spans. Repeated rows have theirs each. A table without
-    candidates gives no rows. Other columns are ignored.
+    Null and empty texts have no spans. A doc_id may be of any type and null. Repeated rows have theirs each; texts of
+    any length take time in proportion. Of overlapping spans with equal rank and score the longer stays, then the earlier,
+    then the first kind by name. A table without candidates gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = write_table(rows.mapInArrow(_find, _FOUND), "pii-candidates")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = write_table(rows.mapInArrow(_find, f"doc_id {id_type}, spans {_SPANS}"), "pii-candidates")
     patterns = found.select(F.inline("spans")).groupBy("votes", "features").count().orderBy("votes", "features").collect()
     w, b = np.zeros(0), 0.0
     if patterns:
@@ -322,4 +363,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         votes = np.array([[r.votes // 3**i % 3 - 1 for i in range(len(LABELERS))] for r in patterns])
         bits = np.array([[r.features >> i & 1 for i in range(len(KINDS) + len(FEATURES))] for r in patterns])
         w, b = train(bits, estimate(votes, bits[:, : len(KINDS)].argmax(axis=1), count), count)
-    return found.mapInArrow(partial(_settle, weights=w.tolist(), intercept=b, threshold=threshold), _SCHEMA)
+    settled = partial(_settle, weights=w.tolist(), intercept=b, threshold=threshold)
+    return found.mapInArrow(settled, f"doc_id {id_type}, start int, end int, kind string, score double")

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -557,6 +559,73 @@ def test_pii_neighbours_and_secrets_are_all_candidates(spark):
     assert found == {(i, x) for i, want in enumerate(spans.values()) for x in want}
 
 
+def test_pii_takes_time_in_proportion():
+    for text in ("1 " + "a" * 2_000_000, "a-" * 1_000_000, "a@" * 1_000_000, "eyJ-" * 500_000, "1 " * 1_000_000, "a." * 1_000_000, "-+/" * 600_000 + "a1"):
+        began = time.process_time()
+        list(pii.candidates_of(text))
+        assert time.process_time() - began < 8
+
+
+def test_pii_broad_candidates_are_those_of_one_pattern():
+    """The scan against the pattern it stands for, which takes the square of a run's length."""
+    plain = re.compile(pii.CANDIDATE.pattern.replace("(?<![\\w.+-])[\\w.+-]++@", "[\\w.+-]+@").replace("|(?P<ip>", "|(?P<secret>\\b[A-Za-z0-9+/_-]*\\d[A-Za-z0-9+/_-]{18,}={0,2})|(?P<ip>"))
+    rng = random.Random(3)
+    pieces = ["a", "Zq", "é", "7", "12", "-", "+", "/", "_", "=", ".", "@", " ", "x" * 18, "4" * 17, "10.0.0.1", "DE89 3704 0044 0532 0130 00", "mail@ex.org", "\n", "("]
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 24)))
+        assert [(s, e, k) for s, e, k in pii._broad(text)] == [(*m.span(), pii._kind(m)) for m in plain.finditer(text)], text
+
+
+def test_pii_against_plain_loops(spark, docs):
+    """The whole query by loops over spans, patterns and labelers, without arrays."""
+    rows = docs.select("doc_id", "text").collect()
+    found = {i: list(pii.candidates_of(r.text)) for i, r in enumerate(rows) if r.text}
+    patterns = {}
+    for spans in found.values():
+        for *_, v, f in spans:
+            patterns[v, f] = patterns.get((v, f), 0) + 1
+    keys = sorted(patterns)
+    votes = [[v // 3**j % 3 - 1 for j in range(6)] for v, _ in keys]
+    kinds = [next(k for k in range(len(pii.KINDS)) if f >> k & 1) for _, f in keys]
+    n = [patterns[x] for x in keys]
+    p = [min(0.95, max(0.05, 0.5 + 0.4 * (s > 0) * min(1, s / 2) - 0.4 * (s < 0) * min(1, -s / 2))) for s in map(sum, votes)]
+    for _ in range(100):
+        new = []
+        for i in range(len(keys)):
+            mates = [m for m in range(len(keys)) if kinds[m] == kinds[i]]
+            yes, no = sum(n[m] * p[m] for m in mates), sum(n[m] * (1 - p[m]) for m in mates)
+            odds = ((yes + 1) / (yes + no + 2)) / (1 - (yes + 1) / (yes + no + 2))
+            for j in range(6):
+                pseudo = {-1: (4.0, 1.0), 0: (4.0, 4.0), 1: (1.0, 4.0)}
+                of_yes = sum(n[m] * p[m] for m in mates if votes[m][j] == votes[i][j]) + pseudo[votes[i][j]][1]
+                of_no = sum(n[m] * (1 - p[m]) for m in mates if votes[m][j] == votes[i][j]) + pseudo[votes[i][j]][0]
+                odds *= of_yes / (yes + 9) / (of_no / (no + 9))
+            new.append(odds / (1 + odds))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-6
+        p = new
+        if done:
+            break
+    bits = np.array([[f >> j & 1 for j in range(len(pii.KINDS) + len(pii.FEATURES))] for _, f in keys])
+    assert np.abs(pii.estimate(np.array(votes), np.array(kinds), np.array(n, float)) - p).max() < 1e-4
+    w, b = pii.train(bits, np.array(p), np.array(n, float))
+    want = []
+    for i, spans in found.items():
+        scored = [(s, e, k, rank, 1 / (1 + np.exp(-b - sum(w[j] for j in range(len(w)) if f >> j & 1)))) for s, e, k, rank, _, f in spans]
+        left = sorted((x for x in scored if x[4] >= 0.5), key=lambda x: (-x[3], -round(x[4], 6), x[0] - x[1], x[0], x[2]))
+        kept = []
+        for x in left:
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        want += [(rows[i].doc_id, x[0], x[1], x[2]) for x in kept]
+    got = [(r.doc_id, r.start, r.end, r.kind) for r in pii.find_pii(docs).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 5
+
+
+def test_pii_of_string_ids_and_ties(spark):
+    df = spark.createDataFrame([("b", "mail a.b@example.com or a.b@example.com"), (None, "é 10.1.2.3"), ("b", "mail a.b@example.com or a.b@example.com")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.start, r.end) for r in pii.find_pii(df).collect()) == [("", 2, 10), ("b", 5, 20), ("b", 5, 20), ("b", 24, 39), ("b", 24, 39)]
+
+
 def test_pii_overlaps_are_settled_after_scoring():
     spans = [(0, 20, "card", 0, 0.99), (0, 9, "phone", 2, 0.6), (10, 20, "phone", 2, 0.9), (15, 25, "ip", 2, 0.8), (25, 30, "ip", 1, 0.7)]
     assert pii.settle(spans) == [(0, 9, "phone", 2, 0.6), (10, 20, "phone", 2, 0.9), (25, 30, "ip", 1, 0.7)]
