@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import drop_table, ship_package, write_table
 from .kernels import buffers, slices
 from .tokens import VOCAB, tokenizer
 
-SCHEMA = "shard bigint, window int, n_tokens int, n_padding int, n_truncated bigint, doc_ids array<bigint>, doc_ends array<int>, tokens binary"
-_ARROW = pa.schema(
-    [("shard", pa.int64()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("n_padding", pa.int32()), ("n_truncated", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32())), ("tokens", pa.binary())]
-)
+SCHEMA = "shard bigint, window int, n_tokens int, n_padding int, n_truncated bigint, doc_ids array<{id}>, doc_ends array<int>, tokens binary"
+_TYPES = {"shard": pa.int64(), "window": pa.int32(), "n_tokens": pa.int32(), "n_padding": pa.int32(), "n_truncated": pa.int64(), "doc_ids": None, "doc_ends": pa.list_(pa.int32()), "tokens": pa.binary()}
 _SLICE = 1 << 20
 
 
@@ -66,9 +65,10 @@ def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, spl
 
 class _Shard:
     def __init__(self, number: int):
+        self.docs = 0
         self.number, self.ids, self.ends, self.is_doc, self.inside, self.doc_ids, self.doc_ends, self.total = number, [], [], [], [], [], [], 0
 
-    def windows(self, capacity: int, over: int, split: int, width: str) -> pa.RecordBatch:
+    def windows(self, capacity: int, over: int, split: int, width: str, id_type: pa.DataType) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
         ends = np.concatenate(self.ends).tolist()
         is_doc = np.concatenate(self.is_doc).tolist()
@@ -81,7 +81,7 @@ class _Shard:
             inner = np.minimum(doc_ends[d0 : d1 + 1], end) - at
             rows.append((self.number, w, end - at, capacity - (end - at), max(0, end - at - capacity), self.doc_ids[d0 : d1 + 1], inner.tolist(), ids[at:end].astype(width).tobytes()))
             at = end
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(c, t or pa.list_(id_type)) for c, t in zip(zip(*rows), _TYPES.values())], list(_TYPES))
 
 
 def _boundaries(tok, ids: np.ndarray) -> np.ndarray:
@@ -112,19 +112,25 @@ def _places(tok, body: np.ndarray, mark: np.ndarray, capacity: int) -> tuple[np.
     return places, ~np.isin(places, ends)
 
 
-def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int | None):
+def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int | None, firsts: list[int] | None = None, shard_docs: int = 0):
+    """Rows come shard by shard; with ``firsts`` they come part by part instead, of which each holds shards of ``shard_docs`` rows from the given number on."""
     tok = tokenizer(vocab)
     width = "<u2" if max(len(tok.length) - 1, eot or 0) < 1 << 16 else "<u4"
-    shard = None
+    shard = part_at = None
     for batch in batches:
+        id_type = batch.column(1).type
         _, offsets = buffers(batch.column(2))
         for i, j in slices(offsets, _SLICE):
             part = batch.slice(i, j - i)
             raw = tok.encode_bytes([t or "" for t in part.column(2).to_pylist()])
             for number, doc_id, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw):
+                if firsts is not None:
+                    if number != part_at:
+                        part_at, in_part = number, 0
+                    number, in_part = firsts[number] + in_part // shard_docs, in_part + 1
                 if shard is not None and number != shard.number:
                     if shard.total:
-                        yield shard.windows(capacity, over, split, width)
+                        yield shard.windows(capacity, over, split, width, id_type)
                     shard = None
                 shard = shard or _Shard(number)
                 if not r:
@@ -143,26 +149,67 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
                 for to, x in ((shard.ids, ids), (shard.ends, ends), (shard.is_doc, doc), (shard.inside, inside), (shard.doc_ids, doc_id), (shard.doc_ends, shard.total)):
                     to.append(x)
     if shard is not None and shard.total:
-        yield shard.windows(capacity, over, split, width)
+        yield shard.windows(capacity, over, split, width, id_type)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = 2048, over: int = 4, split: int = 16, shard_ids: int = 1024, eot: int | None = 50256, shard_col: str | None = None, order_col: str | None = None) -> DataFrame:
-    """Windows of at most ``capacity`` ids over the documents in the order of their ids, or of ``order_col``.
+def _part_starts(rows: DataFrame, shard_docs: int) -> tuple[list[tuple], list[int]]:
+    """(First key of each part, number of the first shard of each part): parts of whole shards in the order of (id, hash).
 
-    A shard is ``shard_ids`` consecutive ids, or what has the same number in ``shard_col``; in each, the cuts minimise padding plus ``split`` a cut inside a document,
-    ``over`` times that inside a sentence. Windows end at documents' or sentences' ends; a sentence longer than a window
-    may be cut after its words too, and where there are none for a whole window, at steps of a 32nd of one. No id is
-    ever dropped: ``n_truncated`` is 0. ``eot`` follows each document (None: nothing does). Row: the shard and the
-    window's place in it, the counts, the documents in it with the ends of their parts, and the ids as little-endian
-    integers of 2 bytes (4 where the vocabulary needs it), without padding.
-
-    Null and empty texts have no ids and are in no window. Rows with a null doc_id make a shard of their own (null), in
-    the order of their texts' hashes. Repeated ids stay side by side, in that order too. An empty table gives no rows. Other columns are
-    ignored.
+    Ids and hashes are sorted on their own; only the keys at which parts begin come to the driver, at most one for each
+    partition of the shuffle.
+    """
+    spark = rows.sparkSession
+    sorted_ = rows.select("id", "h").repartitionByRange("id", "h").sortWithinPartitions("id", "h").withColumn("pid", F.spark_partition_id())
+    sorted_ = write_table(sorted_, "pack-order")
+    sizes = {r.pid: r["count"] for r in sorted_.groupBy("pid").count().collect()}
+    total = sum(sizes.values())
+    step = shard_docs * max(1, -(-total // (shard_docs * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    offset = spark.createDataFrame([(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes], "pid int, base long")
+    ranked = sorted_.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy("id", "h")) - 1).join(F.broadcast(offset), "pid")
+    starts = ranked.where((F.col("base") + F.col("r")) % step == 0).select("id", "h").distinct()
+    # equal keys stay together, so a part begins where its first key does
+    found = ranked.join(F.broadcast(starts.withColumnsRenamed({"id": "i", "h": "g"})), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).groupBy("id", "h").agg(F.min(F.col("base") + F.col("r")).alias("at")).collect()
+    drop_table(sorted_)
+    found.sort(key=lambda r: r["at"])
+    ends = [*(r["at"] for r in found[1:]), total]
+    firsts = [0]
+    for r, end in zip(found, ends):
+        firsts.append(firsts[-1] - (r["at"] - end) // shard_docs)
+    return [_key(r.id, r.h) for r in found], firsts
+
+
+def _key(i, h: int) -> tuple:
+    return (False, h) if i is None else (True, i, h)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = 2048, over: int = 4, split: int = 16, shard_docs: int = 1024, eot: int | None = 50256, shard_col: str | None = None, order_col: str | None = None) -> DataFrame:
+    """Windows of at most ``capacity`` ids over the documents in the order of their ids, or of ``order_col`` in each shard of ``shard_col``.
+
+    Without ``shard_col`` shards are numbered and hold ``shard_docs`` documents each that follow one another, whatever the
+    ids are; some hold fewer, where the part of a task ends. In each shard the cuts minimise padding plus ``split`` a cut
+    inside a document, ``over`` times that inside a sentence. Windows end at documents' or sentences' ends; a sentence
+    longer than a window may be cut after its words too, and where there are none for a whole window, at steps of a 32nd
+    of one. No id is ever dropped: ``n_truncated`` is 0. ``eot`` follows each document (None: nothing does). Row: the shard
+    and the window's place in it, the counts, the documents in it with the ends of their parts, and the ids as
+    little-endian integers of 2 bytes (4 where the vocabulary needs it), without padding.
+
+    Null and empty texts have no ids and are in no window. Ids may be of any type with an order; rows with a null one come
+    first, in the order of their texts' hashes, and repeated ids stay side by side, in that order too. An empty table gives
+    no rows. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    shard = F.floor(F.col(id_col).cast("long") / shard_ids) if shard_col is None else F.col(shard_col)
-    order = F.col(id_col if order_col is None else order_col).cast("long").alias("place")
-    rows = docs.select(shard.cast("long").alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), order)
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "place", "id", F.xxhash64("text"))
-    return ordered.mapInArrow(partial(_pack, vocab=vocab, capacity=capacity, over=over, split=split, eot=eot), SCHEMA)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), *([] if shard_col is None else [F.col(shard_col).cast("long").alias("shard"), F.col(order_col or id_col).alias("place")]))
+    work = partial(_pack, vocab=vocab, capacity=capacity, over=over, split=split, eot=eot)
+    schema = SCHEMA.format(id=rows.schema["id"].dataType.simpleString())
+    if shard_col is not None:
+        ordered = rows.repartition("shard").sortWithinPartitions("shard", "place", "id", "h")
+        return ordered.select("shard", "id", "text").mapInArrow(work, schema)
+    keys, firsts = _part_starts(rows, shard_docs)
+
+    @F.arrow_udf("int")
+    def part(i: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(keys, _key(x, y)) - 1 for x, y in zip(i.to_pylist(), h.to_pylist())], pa.int32())
+
+    ordered = rows.withColumn("part", part("id", "h")).repartitionById(max(1, len(keys)), F.col("part")).sortWithinPartitions("part", "id", "h")
+    return ordered.select("part", "id", "text").mapInArrow(partial(work, firsts=firsts, shard_docs=shard_docs), schema)

@@ -398,6 +398,27 @@ def test_packing_drops_no_id(spark):
     assert sum(r.n_padding for r in rows) < 0.05 * len(want)
 
 
+def test_packing_does_not_depend_on_what_ids_are(spark):
+    """Dense, sparse, string and null ids: the same padding, order by id, and several tasks."""
+    texts = [" ".join(f"word{(i * 7 + j) % 91} more." for j in range(20 + i % 50)) for i in range(3000)]
+    padding = {}
+    for name, of, kind in (("dense", lambda i: i, "bigint"), ("sparse", lambda i: i * 1_000_003, "bigint"), ("string", lambda i: f"d{i:06d}", "string"), ("null", lambda i: None, "bigint")):
+        rows = packing.pack(spark.createDataFrame([(of(i), t) for i, t in enumerate(texts)], f"doc_id {kind}, text string"), shard_docs=256).orderBy("shard", "window").collect()
+        assert len({(r.shard, r.window) for r in rows}) == len(rows) and len({r.shard for r in rows}) >= 12
+        padding[name] = sum(r.n_padding for r in rows)
+        if name != "null":
+            order = [d for r in rows for d in r.doc_ids]
+            assert [d for d, before in zip(order, [None, *order]) if d != before] == [of(i) for i in range(3000)]
+        assert sum(len(r.doc_ids) - 1 for r in rows) > 1000
+    assert padding["sparse"] == padding["dense"] == padding["string"] and padding["null"] < 1.5 * padding["dense"] + 2048
+
+
+def test_packing_of_many_equal_rows(spark):
+    rows = packing.pack(spark.createDataFrame([(5, "Equal rows, all of them.")] * 2000 + [(i, f"Text {i}.") for i in range(500)], "doc_id bigint, text string"), shard_docs=64).collect()
+    assert len({(r.shard, r.window) for r in rows}) == len(rows)
+    assert sum(end - at for r in rows for at, end in zip([0, *r.doc_ends], r.doc_ends)) == sum(r.n_tokens for r in rows)
+
+
 def test_packing_awkward(spark, awkward, empty):
     rows = packing.pack(awkward).collect()
     assert {d for r in rows for d in r.doc_ids} == {None, 3, 4, 5, 6, 7, 8}
