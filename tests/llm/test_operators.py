@@ -89,6 +89,27 @@ def test_store_awkward(spark, awkward, empty):
     assert store.chunk_store(empty).count() == 0
 
 
+def test_store_manifests_tell_lost_added_and_swapped_recipes(spark, docs):
+    s = store.chunk_store(docs.limit(60), bucket_docs=8).cache()
+    assert s.where("kind = 'manifest'").count() > 4 and store.audit(s).count() == 0
+    one, two = (r.doc_id for r in s.where("kind = 'recipe' and n_tokens > 0").orderBy("doc_id").limit(2).collect())
+    lost = s.where(f"not (kind = 'recipe' and doc_id = {one})")
+    assert [(r.listed, r.present) for r in store.audit(lost).collect()] == [(1, 0)]
+    swapped = s.withColumn("doc_id", F.expr(f"case when kind <> 'recipe' then doc_id when doc_id = {one} then {two} when doc_id = {two} then {one} else doc_id end"))
+    assert sorted((r.listed, r.present) for r in store.audit(swapped).collect()) == [(0, 1), (0, 1), (1, 0), (1, 0)]
+    assert {r.doc_id for r in store.reconstruct(swapped).where("not verified").collect()} == {one, two}
+    twice = s.union(s.where(f"kind = 'recipe' and doc_id = {one}"))
+    assert [(r.listed, r.present) for r in store.audit(twice).collect()] == [(1, 2)]
+    gone = s.where("kind <> 'manifest' or bucket <> 0")
+    assert {r.doc_id for r in store.reconstruct(gone).where("not verified").collect()} == {r.doc_id for r in s.where("kind = 'recipe' and bucket = 0").collect()} != set()
+
+
+def test_store_of_string_ids(spark):
+    df = spark.createDataFrame([("a", "Some text."), ("b", None), (None, "Some text."), ("a", "Some text.")], "doc_id string, text string")
+    got = store.reconstruct(store.chunk_store(df).cache()).collect()
+    assert sorted((r.doc_id or "", r.text, r.verified) for r in got) == [("", "Some text.", True), ("a", "Some text.", True), ("a", "Some text.", True)]
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50_000, 20_000)
