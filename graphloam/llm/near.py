@@ -101,7 +101,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, k
     return members.join(keep, ["root", "more"]).select("row_key", "id", F.col("keep.row_key").alias("keep_key"), F.col("keep.id").alias("keep_id"), "n")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, k: int = 3, registers: int = 128, bands: int = 32, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, k: int = 3, registers: int = 256, bands: int = 64, block: int = 1024) -> DataFrame:
     """(doc_id, duplicate_of): every document that isn't the first of its group, and the first.
 
     Two texts are near where the probability Jaccard of their ``k``-word shingles, weighted by how often each occurs, is
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.where("row_key <> keep_key").select(F.col("id").alias("doc_id"), F.col("keep_id").alias("duplicate_of"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, k: int = 3, registers: int = 128, bands: int = 32, block: int = 1024) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, k: int = 3, registers: int = 256, bands: int = 64, block: int = 1024) -> DataFrame:
     """The rows of ``docs`` without those that :func:`near_duplicates` finds; of rows with equal doc_id and text one stays."""
     key, same, gone = fresh_names(docs, "row_key", "row_id", "gone")
     found = near_groups(docs, id_col, text_col, threshold, k, registers, bands, block)

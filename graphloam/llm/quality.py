@@ -26,7 +26,7 @@ METRICS = {
     "n_words": "size(words)",
     "n_word_chars": "length(regexp_replace({text}, '[ \\\\t\\\\n\\\\r\\\\f]+', ''))",
     "n_symbols": "length({text}) - length(regexp_replace({text}, '[#$%&*|<>{{}}@=+~^_]+', ''))",
-    "n_upper": "length({text}) - length(regexp_replace({text}, '[A-ZÀ-ÖØ-Þ]+', ''))",
+    "n_upper": "length({text}) - length(regexp_replace({text}, '\\\\p{{Lu}}+', ''))",
     "n_digits": "length({text}) - length(regexp_replace({text}, '[0-9]+', ''))",
     "n_stop_words": "size(filter(words, x -> rtrim('.,;:!?', x) in ({stop})))",
     "n_distinct_words": "size(array_distinct(words))",
@@ -57,13 +57,15 @@ def _rule(left: str, op: str, factor: float, right: str | None) -> str:
     return f"{left} {op} {factor}" if right is None else f"{left} * 1000 {op} {right} * {round(factor * 1000)}"
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list = RULES) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list = RULES, stop_words: list = STOP_WORDS) -> DataFrame:
     """(doc_id, the metrics, ``failed``, ``keep``) of every row: counts of characters, words and lines, the rules that don't hold in the order of the table, and whether there are none.
 
+    ``rules`` is the threshold table, ``stop_words`` the words that :data:`RULES` wants some of: those of four languages; give others for other languages.
+
     A null text has null metrics, fails ``no_text`` only and isn't kept; an empty one has counts of 0 (one line). Long
     texts count whole. Repeated rows come out alike; null doc_ids stay; an empty table gives no rows. Other columns are ignored.
     """
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop_words)
     (text,) = fresh_names(docs.select(id_col), "text")
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias(text))
     out = out.select("*", *(F.expr(e.format(text=text)).alias(n) for n, e in PARTS.items()))
@@ -81,7 +83,7 @@ def oracle(rules: list = RULES) -> str:
         "n_words": "len(words)",
         "n_word_chars": "length(regexp_replace(text, '[ \\t\\n\\r\\f]+', '', 'g'))",
         "n_symbols": "length(text) - length(regexp_replace(text, '[#$%&*|<>{}@=+~^_]+', '', 'g'))",
-        "n_upper": "length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]+', '', 'g'))",
+        "n_upper": "length(text) - length(regexp_replace(text, '\\p{Lu}+', '', 'g'))",
         "n_digits": "length(text) - length(regexp_replace(text, '[0-9]+', '', 'g'))",
         "n_stop_words": f"len(list_filter(words, lambda x: rtrim(x, '.,;:!?') in ({stop})))",
         "n_distinct_words": "len(list_distinct(words))",

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from ..session import scratch_path
 from . import ann, langid, lines, mixing, near, packing, pii, quality, store, warc
 
@@ -75,6 +73,6 @@ QUERIES = {
         op9_language_id,
         op10_pii,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
-ORACLE = {"op2_quality_rules": quality.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE = {"op2_quality_rules": quality.oracle()}

@@ -42,6 +42,9 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def _uri(path: str) -> str:
+    """As Arrow's file systems want it: three slashes for local files, s3 for what Hadoop calls s3a."""
+    if path.startswith(("s3a://", "s3n://")):
+        return "s3" + path[3:]
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
@@ -64,13 +67,17 @@ def _write(batches, path: str, damage: Callable | None):
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", text_col: str = "html", damage: Callable | None = None) -> DataFrame:
-    """Write one gzip member a row into files in ``path``; (file, records, bytes) of each. A null text is an empty record, a null uri has no header."""
+    """Write one gzip member a row into files in ``path``; (file, records, bytes) of each.
+
+    A null text is an empty record, a null uri has no header. Ids may be of any type, null or repeated. An empty table gives
+    no records. Other columns are ignored.
+    """
     spark = pages.sparkSession
     ship_package(spark)
     target = _uri(path)
     fs, root = _filesystem(target)
     fs.create_dir(root, recursive=True)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(text_col).cast("string").alias("text"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(text_col).cast("string").alias("text"))
     done = rows.mapInArrow(partial(_write, path=target, damage=damage), "file string, records bigint, bytes bigint").collect()
     return spark.createDataFrame(done, "file string, records bigint, bytes bigint")
 
@@ -106,19 +113,23 @@ class _Window:
                 return None
 
 
-def _inflate(w: _Window, at: int) -> tuple[bytes | None, int, str]:
-    """The member at ``at``: (content, end, why not)."""
-    d, out, pos = zlib.decompressobj(31), [], at
+def _inflate(w: _Window, at: int, most: int) -> tuple[bytes | None, int, str]:
+    """The member at ``at``: (content, end, why not). No more than ``most`` bytes are ever inflated."""
+    d, out, pos, size = zlib.decompressobj(31), [], at, 0
     try:
         while not d.eof:
-            if pos >= w.base + len(w.data) and not w.more():
-                return None, pos, "truncated member"
-            block = bytes(w.data[pos - w.base : pos - w.base + _BLOCK])
-            out.append(d.decompress(block))
-            pos += len(block) - len(d.unused_data)
+            if not d.unconsumed_tail:
+                if pos >= w.base + len(w.data) and not w.more():
+                    return None, pos, "truncated member"
+                block = bytes(w.data[pos - w.base : pos - w.base + _BLOCK])
+                pos += len(block)
+            out.append(d.decompress(d.unconsumed_tail or block, most - size + 1))
+            size += len(out[-1])
+            if size > most:
+                return None, pos, "member too large"
     except zlib.error as e:
         return None, pos, "bad member: " + str(e).rpartition(": ")[2]
-    return b"".join(out), pos, ""
+    return b"".join(out), pos - len(d.unused_data), ""
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -150,7 +161,11 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
 _START = re.compile(re.escape(_MAGIC))
 
 
-def salvage(f, name: str) -> Iterator[tuple]:
+#: A record or member of more bytes than this isn't held in memory but logged as a gap; a cell can't hold 2 GB in any case.
+MOST_BYTES = 1 << 28
+
+
+def salvage(f, name: str, most: int = MOST_BYTES) -> Iterator[tuple]:
     """Rows of :data:`SCHEMA` for a file, in order: its good records, and a gap for every run of bytes given up.
 
     Offsets of records in gzip members are those of their members. In a gap the search goes on at the byte after the bad
@@ -171,7 +186,7 @@ def salvage(f, name: str) -> Iterator[tuple]:
             pass
         if at >= w.base + len(w.data):
             break
-        rows, end, bad = _member_records(w, at, name) if zipped else _plain_record(w, at, name)
+        rows, end, bad = _member_records(w, at, name, most) if zipped else _plain_record(w, at, name, most)
         if bad:
             if gap is None:
                 gap, why = at, bad
@@ -191,8 +206,8 @@ def salvage(f, name: str) -> Iterator[tuple]:
         yield ("gap", name, gap, at - gap, None, None, None, None, why)
 
 
-def _member_records(w: _Window, at: int, name: str) -> tuple[list[tuple], int, str]:
-    data, end, bad = _inflate(w, at)
+def _member_records(w: _Window, at: int, name: str, most: int) -> tuple[list[tuple], int, str]:
+    data, end, bad = _inflate(w, at, most)
     if data is None:
         return [], at, bad
     rows, pos, lost = [], 0, None
@@ -214,30 +229,34 @@ def _member_records(w: _Window, at: int, name: str) -> tuple[list[tuple], int, s
     return rows, end, ""
 
 
-def _plain_record(w: _Window, at: int, name: str) -> tuple[list[tuple], int, str]:
-    while True:
-        fields, end, bad = parse_record(bytes(w.data), at - w.base) if len(w.data) < 4 * _BLOCK else parse_record(bytes(w.data[at - w.base :]), 0)
-        if len(w.data) >= 4 * _BLOCK and fields:
-            end += at - w.base
-        if fields or w.ended or bad in ("no version line", "bad header line", "bad length", "wrong digest"):
-            break
-        size = re.search(rb"(?i)\r\ncontent-length: *(\d+)\r\n", w.data[at - w.base : at - w.base + 65536])
-        if size and at + int(size[1]) + 65536 < w.base + len(w.data):
-            break
-        if not w.more():
-            continue
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length: *(\d+)\r\n")
+
+
+def _plain_record(w: _Window, at: int, name: str, most: int) -> tuple[list[tuple], int, str]:
+    while (head := w.data.find(b"\r\n\r\n", at - w.base)) < 0 and len(w.data) - (at - w.base) < _BLOCK and w.more():
+        pass
+    stop = len(w.data)
+    if head >= 0:
+        size = _LENGTH.search(w.data, at - w.base, head + 2)
+        if size and int(size[1]) > most:
+            return [], at, "record too large"
+        if size:
+            stop = head + 8 + int(size[1])
+            while len(w.data) < stop and w.more():
+                pass
+    fields, end, bad = parse_record(bytes(w.data[at - w.base : stop]), 0)
     if fields is None:
         return [], at, bad
-    return [("record", name, at, w.base + end - at, *(fields[k] for k in ("record_type", "uri", "record_id", "payload")), None)], w.base + end, ""
+    return [("record", name, at, end, *(fields[k] for k in ("record_type", "uri", "record_id", "payload")), None)], at + end, ""
 
 
-def _read(batches):
+def _read(batches, most: int):
     for b in batches:
         for path in b.column(0).to_pylist():
             fs, root = _filesystem(_uri(path))
             rows, size = [], 0
             with fs.open_input_stream(root, compression=None) as f:
-                for row in salvage(f, os.path.basename(path)):
+                for row in salvage(f, os.path.basename(path), most):
                     rows.append(row)
                     size += len(row[7] or b"")
                     if size > 4 << 20 or len(rows) >= 4096:
@@ -251,21 +270,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Records and gaps of all archives in ``path`` (``*.warc``, ``*.warc.gz``, plain or by member), a task a file or several.
 
     ``record`` rows passed every check: inflation and CRC, version line, header, length, digest. ``gap`` rows log the file,
     offset and length of each quarantined run of bytes and what failed first. Together they cover each file once. Empty
-    files have no rows; a folder without archives gives an empty table; a record without a uri has null there. Repeated records each come out.
+    files have no rows; a folder without archives gives an empty table; a record without a uri has null there, an empty
+    payload stays empty. Repeated records each come out. A record or member of more than ``most_bytes`` is a gap
+    ("record too large", "member too large"), so a member that inflates without end does no harm; the search goes on inside it.
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.mapInArrow(_read, SCHEMA)
+    return files.mapInArrow(partial(_read, most=most_bytes), SCHEMA)
 
 
-def damage_some(number: int | None, data: bytes) -> bytes:
+def damage_some(number, data: bytes) -> bytes:
     """The damage of the registered query, by id modulo 97: a flipped byte, a lost tail, a spoilt magic, junk before the member, a wrong digest in a sound member."""
-    d = (number or 0) % 97
+    d = number % 97 if isinstance(number, int) else zlib.crc32(str(number).encode()) % 97
     if d == 11:
         return data[: len(data) // 2] + bytes([data[len(data) // 2] ^ 0x55]) + data[len(data) // 2 + 1 :]
     if d == 31:

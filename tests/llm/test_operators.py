@@ -372,6 +372,24 @@ def test_warc_awkward(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_warc_logs_what_is_too_large(spark, tmp_path):
+    bomb, fine = warc.member(warc.record("u", "urn:bomb", b"\0" * 40_000_000)), warc.member(warc.record("u", "urn:fine", b"body"))
+    (tmp_path / "a.warc.gz").write_bytes(fine + bomb + fine)
+    (tmp_path / "b.warc").write_bytes(warc.record("u", "urn:1", b"x" * 3_000_000) + warc.record("u", "urn:2", b"y" * 2_000_000) + warc.record("u", "urn:3", b"z"))
+    rows = warc.read_warc(spark, str(tmp_path), most_bytes=2_500_000).orderBy("file", "offset").collect()
+    assert [(r.file[0], r.kind, r.record_id, r.reason) for r in rows] == [
+        ("a", "record", "<urn:fine>", None), ("a", "gap", None, "member too large"), ("a", "record", "<urn:fine>", None),
+        ("b", "gap", None, "record too large"), ("b", "record", "<urn:2>", None), ("b", "record", "<urn:3>", None)]
+    assert all(a.offset + a.length == b.offset for a, b in zip(rows, rows[1:]) if a.file == b.file)
+
+
+def test_warc_of_string_ids_and_other_columns(spark, tmp_path):
+    pages = spark.createDataFrame([("p1", "u", "<p>", 5), ("p1", "u", "<p>", 6), (None, None, None, 7)], "page_id string, url string, html string, offset int")
+    warc.write_warc(pages, str(tmp_path / "a"))
+    got = sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path / "a")).where("kind = 'record'").collect())
+    assert got == ["<urn:page:>", "<urn:page:p1>", "<urn:page:p1>"]
+
+
 # 7
 
 
@@ -528,6 +546,39 @@ def test_language_awkward(spark, awkward, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_against_plain_loops(spark, docs):
+    """Every score by a loop over the bytes of each text."""
+    model = langid.fit(docs)
+    fold = lambda b: ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 if b < 128 else b
+    rows = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        raw = [fold(b) for b in (r.text or "").encode()]
+        total, known, count = np.zeros(len(model.languages)), 0.0, 0
+        for size in langid.SIZES:
+            for i in range(len(raw) - size + 1):
+                gram = raw[i : i + size]
+                if any(b != 32 for b in gram):
+                    code = size
+                    for b in gram:
+                        code = code * 0x01000193 % 2**32 ^ b
+                    bucket = (code * 0x9E3779B1 % 2**32) >> (32 - langid.BUCKET_BITS)
+                    total, known, count = total + model.table[bucket], known + model.known[bucket], count + 1
+        z = (total / max(count, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = rows[r.doc_id]
+        accepted = count > 0 and p.max() >= model.least_confidence and known / max(count, 1) >= model.least_known
+        assert got.confidence == pytest.approx(p.max(), abs=1e-4) and got.known_share == pytest.approx(known / max(count, 1), abs=1e-6)
+        assert got.accepted == accepted and (got.predicted == model.languages[int(p.argmax())] if accepted else got.predicted is None)
+
+
+def test_language_leaves_columns_of_its_names_alone(spark):
+    df = spark.createDataFrame([("a", "the cat and the dog", "en", "x", 1.0, 2.0, False)] * 3 + [(None, "der Hund und die Katze", "de", "y", 1.0, 2.0, True)] * 3, "doc_id string, text string, lang string, predicted string, confidence double, known_share double, accepted boolean")
+    out = langid.identify(df, langid.fit(df, held_out=0.34))
+    assert out.columns == [*df.columns, "_predicted", "_confidence", "_known_share", "_accepted"]
+    assert [tuple(r)[:7] for r in out.orderBy("predicted").collect()] == [tuple(r) for r in df.orderBy("predicted").collect()]
+    assert len({(r.text, r._predicted, r._confidence) for r in out.collect()}) == 2
+
+
 def test_subwords_stay_in_their_row():
     raw, off = kernels.buffers(pa.array(["abc", "", "xyz de"]))
     joint = [b.copy() for b in langid.subwords(raw, off)]
