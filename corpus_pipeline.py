@@ -10,14 +10,24 @@ from graphloam.session import drop_table, write_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on labelled rows of ``docs``; rejected documents go, and ``lang`` is what the model says."""
+    """Fit on labelled rows of ``docs``; rejected documents go, and ``lang`` is what the model says.
+
+    Null, empty and unlettered texts are rejected, as is every row where none has text and label. Texts of any length count
+    whole. Equal rows fare alike. Null ids and sources stay. An empty table stays empty. Other columns pass through
+    whatever their names, those that the operator uses included.
+    """
     scored = langid.identify(docs, langid.fit(docs))
     predicted, accepted = scored.columns[len(docs.columns)], scored.columns[-1]
     return scored.where(F.col(accepted)).select(*(F.col(predicted if c == "lang" else f"`{c}`").alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated lines out, count the characters anew; a document of nothing but repeated lines goes."""
+    """Take repeated lines out, count the characters anew; a document of nothing but repeated lines goes.
+
+    Null and empty texts stay as they are, and a null text has no count. The first of equal lines is the one with the least
+    doc_id (nulls last), then text hash, then place. Rows with equal doc_id and text come out alike. An empty table stays
+    empty. Other columns pass through whatever their names.
+    """
     done = lines.line_dedup(docs)
     dropped = done.columns[-1]
     kept = done.where((F.col(dropped) == 0) | F.col(dropped).isNull() | (F.trim(F.regexp_replace("text", "\n", "")) != ""))
@@ -25,17 +35,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that with the least doc_id (nulls last).
+
+    Null and blank texts are in no group and stay. Of rows with equal doc_id and text one stays. An empty table stays
+    empty. Other columns pass through whatever their names.
+    """
     return near.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which the sources have their target weights, in shuffled shards."""
+    """A sample in which the sources have their target weights, in shuffled shards.
+
+    Null and empty texts and null ids are rows like others, equal rows are taken one by one, and the null source is a
+    source. An empty table stays empty. Other columns pass through whatever their names.
+    """
     return mixing.mix_sources(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of token ids over mixing's shards, each in its shuffled order; both are found again from what mixing kept."""
+    """Windows of token ids over mixing's shards, each in its shuffled order; both are found again from what mixing kept.
+
+    Null and empty texts are in no window; equal rows are each packed. No documents give no windows. Other columns have no
+    effect but on the order of the shuffle.
+    """
     mixed = mixing.mixed_order(docs)
     shard, position = mixed.columns[-2:]
     return packing.pack(mixed, shard_col=shard, order_col=position)
