@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Graph
-from ..session import write_table
-from .interp import DEFAULT, set_value
+from ..schema import INTERP, Graph
+from ..session import drop_table, write_table
+from .interp import DEFAULT, Registry, set_value
+from .select import annotations, remove
 
 
 def vertices(g: Graph) -> DataFrame:
@@ -17,17 +18,66 @@ def vertices(g: Graph) -> DataFrame:
     return g.nodes.join(attrs, ["graph", "id"], "left")
 
 
-def edges(g: Graph) -> DataFrame:
-    """(occ, source, target, label) of the first-level edges between nodes; those to assertions are left out, repeated ones stay."""
+def typed_vertices(g: Graph, registry: Registry = DEFAULT) -> DataFrame:
+    """(graph, id, types, attrs): a node's first-level properties with their interpretations applied.
+
+    ``attrs`` maps a label to its values, sorted, each with a field for every interpretation of the registry that is null
+    but in the value's own; a value that breaks its contract, or has none, is text only.
+    """
+    rows = g.assertions.where("kind = 'P' and depth = 0")
+    fields = [F.when(F.col("interp") == iri, i.read(F.col("value"))).alias(iri.rpartition("/")[2]) for iri, i in registry.items() if iri != INTERP + "text"]
+    lists = rows.select("graph", F.col("root").alias("id"), "label", F.struct(F.col("value").alias("text"), "interp", *fields).alias("v")).groupBy("graph", "id", "label").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    attrs = lists.groupBy("graph", "id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "values")))).alias("attrs"))
+    return g.nodes.join(attrs, ["graph", "id"], "left")
+
+
+def edges(g: Graph, attributes: bool = False) -> DataFrame:
+    """(graph, occ, source, target, label) of the first-level edges between nodes; those to assertions are left out, repeated ones stay.
+
+    With ``attributes`` each has its own properties too, as :func:`annotations` gives them.
+    """
+    named = g.assertions.where("id is not null").select("graph", F.col("id").alias("target")).distinct()
+    out = g.edge_hop.join(named, ["graph", "target"], "left_anti").select("graph", "occ", "source", "target", "label")
+    return out.join(annotations(g).withColumnRenamed("parent_occ", "occ"), ["graph", "occ"], "left") if attributes else out
+
+
+def skipped_edges(g: Graph) -> DataFrame:
+    """(graph, n): how many first-level edges :func:`edges` leaves out, since an assertion is their target."""
     named = g.assertions.where("id is not null").select("graph", F.col("id").alias("target")).distinct()
-    return g.edge_hop.join(named, ["graph", "target"], "left_anti").select("graph", "occ", "source", "target", "label")
+    return g.edge_hop.join(named, ["graph", "target"], "left_semi").groupBy("graph").agg(F.count("*").alias("n"))
 
 
 def degree(g: Graph) -> DataFrame:
-    """(id, n_in, n_out) over first-level edges between nodes, one exchange for both ends."""
+    """(graph, id, n_in, n_out) over first-level edges between nodes, one exchange for both ends."""
     e = edges(g)
-    ends = e.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(e.select("target", F.lit(1), F.lit(0)))
-    return ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+    ends = e.select("graph", F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(e.select("graph", "target", F.lit(1), F.lit(0)))
+    return ends.groupBy("graph", "id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def label_propagation(edge: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, community): every node takes the commonest label among its neighbours in any direction, the least of equally common ones, all at once in each round, until none changes or ``rounds`` are over."""
+    both = write_table(edge.select("source", "target").union(edge.select("target", "source")).where("source <> target").distinct(), "lp-edges")
+    label = write_table(edge.select(F.col("source").alias("id")).union(edge.select("target")).distinct().select("id", F.col("id").alias("community")), "lp")
+    for _ in range(rounds):
+        votes = both.join(label.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id"), "community").count()
+        best = votes.groupBy("id").agg(F.min(F.struct(-F.col("count"), "community")).alias("b")).select("id", F.col("b.community").alias("new"))
+        new = write_table(label.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")), "lp")
+        same = new.join(label.withColumnRenamed("community", "old"), "id").where("community <> old").isEmpty()
+        drop_table(label)
+        label = new
+        if same:
+            break
+    drop_table(both)
+    return label
+
+
+def top_by_value(g: Graph, label: str, k: int, interp: str = INTERP + "number", type_: str | None = None) -> DataFrame:
+    """(graph, id, value): the ``k`` nodes with the greatest values of a label as its interpretation reads them, ties by id; a node counts with its greatest."""
+    rows = g.assertions.where((F.col("label") == label) & (F.col("kind") == "P") & (F.col("depth") == 0))
+    read = rows.select("graph", F.col("root").alias("id"), DEFAULT.get_strict(interp).read(F.col("value")).alias("value")).where("value is not null")
+    if type_ is not None:
+        read = read.join(g.nodes.where(F.array_contains("types", type_)).select("graph", "id"), ["graph", "id"], "left_semi")
+    return read.groupBy("graph", "id").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "graph", "id").limit(k)
 
 
 def pagerank(edge: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -41,7 +91,11 @@ def pagerank(edge: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFr
         flow = links.join(rank.withColumnRenamed("id", "source"), "source")
         got = flow.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         moved = flow.select("source", "rank").distinct().agg(F.sum("rank")).first()[0] or 0.0
-        rank = write_table(ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / max(1, n) + damping * (1 - moved) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "pagerank")
+        before, rank = rank, write_table(ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / max(1, n) + damping * (1 - moved) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "pagerank")
+        if before.inputFiles() != ids.inputFiles():
+            drop_table(before)
+    for table in (e, ids, links):
+        drop_table(table)
     return rank
 
 
@@ -54,30 +108,38 @@ def connected_components(edge: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("id").alias("target"), "component"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("c"))
         jump = label.select(F.col("id").alias("component"), F.col("component").alias("j"))
         new = write_table(label.join(near, "id").join(jump, "component", "left").select("id", F.least("component", "c", F.coalesce("j", "component")).alias("component")), "components")
-        if new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty():
+        settled = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty()
+        drop_table(label)
+        if settled:
+            drop_table(both)
             return new
         label = new
 
 
-def write_back(g: Graph, label: str, values: DataFrame, interp: str, replace: bool = True) -> Graph:
-    """Results (id, value) become properties of the nodes that exist, in place of earlier ones with the label."""
-    if not replace:
-        return set_value(g, values, label, interp)
-    old = g.assertions.where((F.col("label") == label) & (F.col("depth") == 0) & (F.col("kind") == "P"))
-    gone = old.join(values.select(F.col("id").alias("root")), "root", "left_semi").select("graph", "occ")
-    left = g.assertions.join(gone, ["graph", "occ"], "left_anti").join(gone.withColumnRenamed("occ", "parent_occ"), ["graph", "parent_occ"], "left_anti")
-    return set_value(Graph(g.nodes, left.select(g.assertions.columns)), values, label, interp)
+def write_back(g: Graph, label: str, values: DataFrame, interp: str | None, replace: bool = True) -> Graph:
+    """Results (id, value) or (graph, id, value) become properties of the nodes that exist, in place of earlier ones with the label and all that hangs on those; :func:`written` counts them."""
+    if replace:
+        key = [c for c in ("graph", "id") if c in values.columns]
+        old = g.assertions.where((F.col("label") == label) & (F.col("depth") == 0) & (F.col("kind") == "P")).withColumn("id", F.col("root"))
+        g = remove(g, old.join(values.where("value is not null").select(key), key, "left_semi").select("graph", "occ"))
+    return set_value(g, values, label, interp)
+
+
+def written(g: Graph, values: DataFrame) -> int:
+    """How many properties :func:`write_back` writes: one for each value on a node that exists."""
+    key = [c for c in ("graph", "id") if c in values.columns]
+    return values.where("value is not null").join(g.nodes.select("graph", "id"), key).count()
 
 
 def project(g: Graph, type_: str, columns: dict[str, tuple[str, str | None]], broken: str = "null") -> DataFrame:
-    """A relational table of the nodes of a type: ``columns`` maps a name to (label, interpretation).
+    """(graph, id, the columns): a relational table of the nodes of a type: ``columns`` maps a name to (label, interpretation).
 
     The least value counts where a label repeats. ``broken`` says what becomes of a value that breaks its contract: null,
     skip (the row goes) or error.
     """
     wanted = [label for label, _ in columns.values()]
-    props = g.assertions.where(F.col("label").isin(wanted) & (F.col("kind") == "P") & (F.col("depth") == 0)).groupBy("root").pivot("label", wanted).agg(F.min("value"))
-    out = g.nodes.where(F.array_contains("types", type_)).select(F.col("id").alias("root")).join(props, "root", "left")
+    props = g.assertions.where(F.col("label").isin(wanted) & (F.col("kind") == "P") & (F.col("depth") == 0)).groupBy("graph", "root").pivot("label", wanted).agg(F.min("value"))
+    out = g.nodes.where(F.array_contains("types", type_)).select("graph", F.col("id").alias("root")).join(props, ["graph", "root"], "left")
     typed, bad = [], F.lit(False)
     for name, (label, interp) in columns.items():
         v = F.col(f"`{label}`")
@@ -88,4 +150,4 @@ def project(g: Graph, type_: str, columns: dict[str, tuple[str, str | None]], br
         out = out.where(~bad)
     elif broken == "error" and not out.where(bad).isEmpty():
         raise ValueError("a value breaks its contract")
-    return out.select(F.col("root").alias("id"), *typed)
+    return out.select("graph", F.col("root").alias("id"), *typed)

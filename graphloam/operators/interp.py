@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,27 +29,63 @@ class UnknownInterpretation(KeyError):
 
 @dataclass
 class Interpretation:
-    """``check``: a Column test; ``read``: the typed Column, null where the check fails."""
+    """``check``: a Column test; ``read``: the typed Column, null where the check fails; ``write``: a typed Column as the string that reads back as it."""
 
     check: Callable[[Column], Column]
     read: Callable[[Column], Column]
+    write: Callable[[Column], Column] = lambda v: v.cast("string")
 
 
-def _gated(check, read):
-    return Interpretation(check, lambda v: F.when(check(v), read(v)))
+def _gated(check, read, write=lambda v: v.cast("string")):
+    return Interpretation(check, lambda v: F.when(check(v), read(v)), write)
+
+
+def of_function(check: Callable, read: Callable, kind: str, write: Callable = str) -> Interpretation:
+    """An interpretation of plain Python functions on one value, run over Arrow batches; ``kind`` is what ``read`` gives."""
+
+    def test(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else bool(check(v)))
+
+    def value(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: read(v) if v is not None and check(v) else None)
+
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else write(v))
+
+    return Interpretation(*(F.pandas_udf(f, k) for f, k in ((test, "boolean"), (value, kind), (text, "string"))))
+
+
+class Registry(dict):
+    """Interpretations by IRI. ``register`` refuses a name that is taken, ``get_strict`` one that is not there."""
+
+    def register(self, iri: str, interpretation: Interpretation, replace: bool = False) -> None:
+        if iri in self and not replace:
+            raise ValueError(f"{iri} is registered")
+        self[iri] = interpretation
+
+    def get_strict(self, iri: str) -> Interpretation:
+        if iri not in self:
+            raise UnknownInterpretation(iri)
+        return self[iri]
 
 
 def _datetime_check(v: Column) -> Column:
     return v.rlike(INSTANT) & F.try_to_timestamp(F.substring(v, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
 
 
-DEFAULT: dict[str, Interpretation] = {
-    INTERP + "number": _gated(lambda v: v.rlike(NUMBER), lambda v: v.try_cast("decimal(38,18)")),
-    INTERP + "datetime": _gated(_datetime_check, lambda v: v.try_cast("timestamp")),
+def _iso(v: Column) -> Column:
+    """A date, or a time with as many digits of seconds as it has."""
+    whole = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.typeof(v) == "date", F.date_format(v, "yyyy-MM-dd")).when(F.date_format(v, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.lit("."), F.date_format(v, "SSSSSS")))
+
+
+DEFAULT: Registry = Registry({
+    INTERP + "number": _gated(lambda v: v.rlike(NUMBER), lambda v: v.try_cast("decimal(38,18)"), lambda v: canonical_number(v.cast("string"))),
+    INTERP + "datetime": _gated(_datetime_check, lambda v: v.try_cast("timestamp"), _iso),
     INTERP + "boolean": _gated(lambda v: v.isin("true", "false"), lambda v: v == "true"),
     INTERP + "iri": _gated(lambda v: v.rlike(IRI), lambda v: v),
     INTERP + "text": Interpretation(lambda v: F.lit(True), lambda v: v),
-}
+})
 
 
 def checked(registry: dict[str, Interpretation] = DEFAULT) -> Column:
@@ -67,9 +102,25 @@ def validate(g: Graph, registry: dict[str, Interpretation] = DEFAULT) -> DataFra
     return bad.select("graph", "occ", "origin", "label", "interp", "value", F.concat(F.lit("not "), F.substring_index("interp", "/", -1)).alias("message"))
 
 
+def unknown_rows(g: Graph, registry: dict[str, Interpretation] = DEFAULT) -> DataFrame:
+    """The assertions whose interpretation the registry doesn't have."""
+    return g.assertions.where(F.col("interp").isNotNull() & ~F.col("interp").isin(list(registry)))
+
+
 def unknown_interps(g: Graph, registry: dict[str, Interpretation] = DEFAULT) -> DataFrame:
     """(interp, n) of those in use that the registry doesn't have."""
-    return g.assertions.where(F.col("interp").isNotNull() & ~F.col("interp").isin(list(registry))).groupBy("interp").agg(F.count("*").alias("n"))
+    return unknown_rows(g, registry).groupBy("interp").agg(F.count("*").alias("n"))
+
+
+def value_of(g: Graph, iri: str, registry: Registry = DEFAULT, strict: bool = False) -> DataFrame:
+    """(graph, occ, value) of the properties of one interpretation, read; strict raises where one breaks its contract or the registry lacks it."""
+    if iri not in registry and not strict:
+        return g.assertions.where(F.lit(False)).select("graph", "occ", "value")
+    i, rows = Registry(registry).get_strict(iri), g.assertions.where((F.col("kind") == "P") & (F.col("interp") == iri))
+    bad = rows.where(~i.check(F.col("value"))).limit(1).collect() if strict else []
+    if bad:
+        raise InterpretationError(f"{bad[0].value!r} is not {iri.rpartition('/')[2]}")
+    return rows.select("graph", "occ", i.read(F.col("value")).alias("value"))
 
 
 def typed(g: Graph, registry: dict[str, Interpretation] = DEFAULT, strict: bool = False) -> DataFrame:
@@ -109,24 +160,30 @@ def canonical_number(values: pd.Series) -> pd.Series:
     return values.map(lambda v: write_number(read_number(v)) if isinstance(v, str) and good.match(v) else None)
 
 
-@F.pandas_udf(T.BooleanType())
-def exact_datetime_check(values: pd.Series) -> pd.Series:
-    """Python's own ISO 8601 rules: a clock or a T makes it a date with time."""
+def has_time(v: Column) -> Column:
+    """Whether a datetime value is a date with a time and not a date alone."""
+    return v.rlike("[T:]")
+
 
-    def ok(v):
-        try:
-            (datetime.datetime if "T" in v or ":" in v else datetime.date).fromisoformat(v)
-            return True
-        except ValueError:
-            return False
+def typed_instants(g: Graph) -> DataFrame:
+    """(graph, occ, day, instant) of datetime properties: a date alone has a day only."""
+    rows = value_of(g, INTERP + "datetime").where("value is not null").withColumnRenamed("value", "read")
+    rows = rows.join(g.assertions.select("graph", "occ", "value"), ["graph", "occ"])
+    return rows.select("graph", "occ", F.col("read").cast("date").alias("day"), F.when(has_time(F.col("value")), F.col("read")).alias("instant"))
 
-    return values.map(lambda v: None if v is None else ok(v))
 
+def set_value(g: Graph, values: DataFrame, label: str, interp: str | None, registry: Registry = DEFAULT) -> Graph:
+    """Append a property for each (id, value) or (graph, id, value) of ``values`` on nodes that exist, written as its interpretation reads it back.
 
-def set_value(g: Graph, values: DataFrame, label: str, interp: str) -> Graph:
-    """Append a property for each (id, value) of ``values``, rendered as a string, on nodes that exist."""
-    rows = values.join(g.nodes.select("graph", "id"), "id").select(
-        "graph", F.sha2(F.concat_ws("\x1f", F.lit("set"), "id", F.lit(label), F.col("value").cast("string")), 256).alias("occ"), F.lit(None).cast("string").alias("parent_occ"), F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit("P").alias("kind"),
-        F.col("id").alias("origin"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("target"), F.col("value").cast("string").alias("value"), F.lit(None).cast("string").alias("id2"), F.lit(interp).alias("interp"),
+    Null values are left out. Every row is an occurrence of its own, also where the same value is there already.
+    """
+    key = ["graph", "id"] if "graph" in values.columns else ["id"]
+    write = registry.get_strict(interp).write if interp else lambda v: v.cast("string")
+    rows = values.where("value is not null").join(g.nodes.select("graph", "id"), key).select("graph", "id", write(F.col("value")).alias("value"))
+    null, had = F.lit(None).cast("string"), g.assertions.where((F.col("label") == label) & (F.col("depth") == 0)).groupBy("graph", F.col("root").alias("id")).count()
+    rows = rows.join(had, ["graph", "id"], "left").withColumn("n", F.row_number().over(Window.partitionBy("graph", "id").orderBy("value")) + F.coalesce("count", F.lit(0)))
+    rows = rows.select(
+        "graph", F.sha2(F.concat_ws("\x1f", F.lit("set"), "graph", "id", F.lit(label), "value", F.col("n").cast("string")), 256).alias("occ"), null.alias("parent_occ"), F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit("P").alias("kind"),
+        F.col("id").alias("origin"), F.lit(label).alias("label"), null.alias("target"), "value", null.alias("id"), F.lit(interp).cast("string").alias("interp"),
     )
-    return Graph(g.nodes, g.assertions.unionByName(rows.withColumnRenamed("id2", "id")))
+    return Graph(g.nodes, g.assertions.unionByName(rows))

@@ -7,52 +7,70 @@ from pyspark.sql import functions as F
 
 from ..schema import Graph
 from ..session import drop_table, write_table
+from .select import remove
+
+
+KEY = ["graph", "id"]
 
 
 def _rounds(hop: DataFrame, start: DataFrame, hops: int, seen: DataFrame) -> DataFrame:
-    """Ids reached in 1 to ``hops`` steps and not in ``seen``, each round written so that lineage stays short."""
-    frontier, visited = start, seen
+    """(graph, id) reached in 1 to ``hops`` steps, and ``seen``; each round is written so that lineage stays short, and removed in the end."""
+    frontier, visited, written = start, seen, []
     for _ in range(hops):
-        step = hop.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        found = write_table(step.join(visited, "id", "left_anti"), "frontier")
+        step = hop.join(frontier.select("graph", F.col("id").alias("source")), ["graph", "source"], "left_semi").select("graph", F.col("target").alias("id")).distinct()
+        found = write_table(step.join(visited, KEY, "left_anti"), "frontier")
+        written.append(found)
         if found.isEmpty():
-            drop_table(found)
             break
         frontier, visited = found, visited.union(found)
-    return visited
+    out = write_table(visited, "reached")
+    for table in written:
+        drop_table(table)
+    return out
 
 
 def reachable(g: Graph, root: str, label: str, max_hops: int) -> DataFrame:
-    """(id): the distinct nodes 1 to ``max_hops`` edges away; the root itself only where it lies on a cycle."""
+    """(graph, id): in each graph the distinct nodes 1 to ``max_hops`` edges away; the root itself only where it lies on a cycle."""
     hop = g.edge_hop.where(F.col("label") == label)
-    start = hop.sparkSession.createDataFrame([(root,)], "id string")
+    start = hop.where(F.col("source") == root).select("graph", F.col("source").alias("id")).distinct()
     return _rounds(hop, start, max_hops, start.limit(0))
 
 
 def within(g: Graph, roots: DataFrame, hops: int) -> DataFrame:
-    """(id): the roots that exist and all nodes up to ``hops`` first-level edges away."""
-    known = roots.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi")
-    edges = g.edge_hop.join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    """(graph, id): the roots that exist and all nodes up to ``hops`` first-level edges away. ``roots`` has ``id``, in all graphs, or ``graph`` too."""
+    known = g.nodes.select(KEY).join(roots.select([c for c in KEY if c in roots.columns]).distinct(), [c for c in KEY if c in roots.columns], "left_semi").distinct()
+    edges = g.edge_hop.join(g.nodes.select("graph", F.col("id").alias("target")), ["graph", "target"], "left_semi")
     return _rounds(edges, known, hops, known)
 
 
 def subgraph(g: Graph, roots: DataFrame, hops: int = 1) -> Graph:
     """What lies within ``hops`` of the roots with whole assertion trees; edge targets beyond become bare nodes."""
-    ids = write_table(within(g, roots, hops), "scope")
-    nodes = g.nodes.join(ids, "id", "left_semi")
-    rows = g.assertions.join(ids.withColumnRenamed("id", "root"), "root", "left_semi")
-    named = rows.where("id is not null").select("id")
-    bare = rows.where("kind = 'E'").select("graph", F.col("target").alias("id")).distinct().join(ids, "id", "left_anti").join(named, "id", "left_anti")
+    ids = within(g, roots, hops)
+    nodes = g.nodes.join(ids, KEY, "left_semi")
+    rows = g.assertions.join(ids.withColumnRenamed("id", "root"), ["graph", "root"], "left_semi")
+    named = rows.where("id is not null").select(KEY)
+    bare = rows.where("kind = 'E'").select("graph", F.col("target").alias("id")).distinct().join(ids, KEY, "left_anti").join(named, KEY, "left_anti")
     return Graph(nodes.select("graph", "id", "types").unionByName(bare.select("graph", "id", F.expr("cast(array() as array<string>)").alias("types"))), rows.select(g.assertions.columns))
 
 
+def restrict(g: Graph, types: list[str], labels: list[str] | None = None) -> Graph:
+    """The nodes of any of the types with the assertions on them, but only those first-level edges whose targets are among them too."""
+    nodes = g.nodes.where(F.arrays_overlap("types", F.array(*map(F.lit, types))))
+    ids = nodes.select(KEY).distinct()
+    rows = g.assertions.join(ids.withColumnRenamed("id", "root"), ["graph", "root"], "left_semi")
+    hops = g.edge_hop if labels is None else g.edge_hop.where(F.col("label").isin(labels))
+    inside = hops.join(ids.withColumnRenamed("id", "target"), ["graph", "target"], "left_semi").select("graph", "occ")
+    outside = g.edge_hop.select("graph", "occ").join(inside, ["graph", "occ"], "left_anti")
+    return remove(Graph(nodes, rows.select(g.assertions.columns)), outside)
+
+
 def path(g: Graph, labels: list[str], distinct: bool = True) -> DataFrame:
-    """(source, target) of every chain of first-level edges with these labels in turn."""
+    """(graph, source, target) of every chain of first-level edges with these labels in turn."""
     out = None
     for label in labels:
-        hop = g.edge_hop.where(F.col("label") == label).select("source", "target")
+        hop = g.edge_hop.where(F.col("label") == label).select("graph", "source", "target")
         hop = hop.distinct() if distinct else hop
-        out = hop if out is None else out.withColumnRenamed("target", "mid").join(hop.withColumnRenamed("source", "mid"), "mid").select("source", "target")
+        out = hop if out is None else out.withColumnRenamed("target", "mid").join(hop.withColumnRenamed("source", "mid"), ["graph", "mid"]).select("graph", "source", "target")
         out = out.distinct() if distinct else out
     return out
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Graph
+from ..schema import Graph, IdConflictError
+from ..session import write_table
 
 
 def select(g: Graph, origin=None, label=None, *, value=None, target=None, id=None, deep=False, parent=None, graph=None) -> DataFrame:
@@ -29,6 +30,12 @@ def annotations(g: Graph) -> DataFrame:
     return per_label.groupBy("graph", "parent_occ").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("annotations"))
 
 
+def annotation_lists(g: Graph) -> DataFrame:
+    """(graph, parent_occ, annotations): each assertion's own properties with all values of a label, sorted."""
+    per_label = g.assertions.where("depth > 0 and kind = 'P'").groupBy("graph", "parent_occ", "label").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return per_label.groupBy("graph", "parent_occ").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "values")))).alias("annotations"))
+
+
 def match(g: Graph, origin=None, label=None, graph=None) -> DataFrame:
     """(origin, relation, target, annotations) of first-level assertions; ``target`` is the value for properties."""
     rows = select(g, origin, label, graph=graph)
@@ -50,12 +57,13 @@ def typematch(g: Graph, types: list[str]) -> DataFrame:
 
 
 def remove(g: Graph, gone: DataFrame) -> Graph:
-    """The graph without the rows of ``gone`` (occ) and everything below them, a level at a time."""
-    left, lost = g.assertions, gone.select("occ").distinct()
+    """The graph without the rows of ``gone`` (graph, occ) and everything below them, a level at a time."""
+    key = ["graph", "occ"]
+    left, lost = g.assertions, gone.select(key).distinct()
     deepest = g.assertions.agg(F.max("depth")).first()[0] or 0
     for _ in range(deepest + 1):
-        below = left.join(lost.withColumnRenamed("occ", "parent_occ"), "parent_occ", "left_semi").select("occ")
-        left = left.join(lost, "occ", "left_anti")
+        below = left.join(lost.withColumnRenamed("occ", "parent_occ"), ["graph", "parent_occ"], "left_semi").select(key)
+        left = left.join(lost, key, "left_anti")
         lost = below
     return Graph(g.nodes, left.select(g.assertions.columns))
 
@@ -65,12 +73,68 @@ def remove_skeleton(g: Graph, origin: str, label: str, payload: str) -> Graph:
     return remove(g, select(g, origin, label).where((F.coalesce("target", "value") == payload) & F.col("id").isNull()))
 
 
-def drop_node(g: Graph, node: str) -> Graph:
-    """Without the node and its own assertions; edges to it stay."""
-    return Graph(g.nodes.where(F.col("id") != node), g.assertions.where(F.col("root") != node))
+def drop_node(g: Graph, node: str, graph: str | None = None) -> Graph:
+    """Without the node and its own assertions, in one graph or all; edges to it stay."""
+    other = F.lit(False) if graph is None else F.col("graph") != graph
+    return Graph(g.nodes.where(other | (F.col("id") != node)), g.assertions.where(other | (F.col("root") != node)))
 
 
 def put_node(g: Graph, graph: str, node: str, types: list[str]) -> Graph:
-    """A new node in place of any with this id."""
+    """A new node in place of any with this id in this graph."""
     row = g.nodes.sparkSession.createDataFrame([(graph, node, sorted(set(types)))], g.nodes.schema)
-    return Graph(drop_node(g, node).nodes.unionByName(row), drop_node(g, node).assertions)
+    left = drop_node(g, node, graph)
+    return Graph(left.nodes.unionByName(row), left.assertions)
+
+
+def _added(g: Graph, rows: DataFrame, kind: str) -> Graph:
+    """Rows of (root or parent, label, payload, id, interp) as assertions; ids that are taken raise."""
+    given = [c for c in ("graph", "origin", "parent_occ", "label", "payload", "id", "interp") if c in rows.columns]
+    lone = g.nodes.select("graph").distinct().limit(2).collect() if "graph" not in given else []
+    if len(lone) > 1:
+        raise ValueError("several graphs: say which")
+    null = F.lit(None).cast("string")
+    full = rows.select(*given, *(null.alias(c) for c in ("origin", "parent_occ", "id", "interp") if c not in given), *([] if "graph" in given else [F.lit(lone[0][0] if lone else None).cast("string").alias("graph")]))
+    full = full.withColumn("occ", F.expr("uuid()"))
+    full = write_table(full, "added")
+    parents = g.assertions.select("graph", F.col("occ").alias("parent_occ"), F.col("root").alias("above_root"), F.col("id").alias("above_id"), F.col("depth").alias("above"))
+    joined = full.join(parents, ["graph", "parent_occ"], "left")
+    if not joined.where("parent_occ is not null and above is null or parent_occ is null and origin is null").isEmpty():
+        raise KeyError("an assertion needs a node or an assertion that exists")
+    register_ids(g, full.where("id is not null").select("graph", "id"))
+    done = joined.select(
+        "graph", "occ", "parent_occ", F.coalesce("above_root", "origin").alias("root"), F.coalesce(F.col("above") + 1, F.lit(0)).alias("depth"), F.lit(kind).alias("kind"), F.when(F.col("parent_occ").isNull(), F.col("origin")).otherwise(F.col("above_id")).alias("origin"), "label",
+        (F.col("payload") if kind == "E" else null).alias("target"), (F.col("payload") if kind == "P" else null).alias("value"), "id", "interp",
+    )
+    ends = done.where("depth = 0").select("graph", F.col("root").alias("id"))
+    ends = ends.union(done.select("graph", F.col("target").alias("id"))) if kind == "E" else ends
+    known = g.nodes.select("graph", "id").union(g.assertions.where("id is not null").select("graph", "id"))
+    fresh = ends.distinct().join(known, ["graph", "id"], "left_anti").select("graph", "id", F.expr("cast(array() as array<string>)").alias("types"))
+    return Graph(g.nodes.unionByName(fresh), g.assertions.unionByName(done))
+
+
+def add_property(g: Graph, rows: DataFrame) -> Graph:
+    """With a property for each row: ``origin`` (a node) or ``parent_occ`` (an assertion), ``label``, ``payload``, and at will ``graph``, ``id``, ``interp``. Nodes are made where there are none."""
+    return _added(g, rows, "P")
+
+
+def add_edge(g: Graph, rows: DataFrame) -> Graph:
+    """The same for edges, whose ``payload`` is the target; one that names no node and no assertion becomes a bare node."""
+    return _added(g, rows, "E")
+
+
+def register_ids(g: Graph, ids: DataFrame) -> None:
+    """Raise where an id of ``ids`` (graph, id) is given twice, or names a node or an assertion already."""
+    taken = g.nodes.select("graph", "id").union(g.assertions.where("id is not null").select("graph", "id"))
+    bad = ids.join(taken, ["graph", "id"], "left_semi").union(ids.groupBy("graph", "id").count().where("count > 1").select("graph", "id")).limit(5).collect()
+    if bad:
+        raise IdConflictError("taken: " + ", ".join(r.id for r in bad))
+
+
+def getprop(g: Graph, node: str, label: str, graph: str | None = None) -> DataFrame:
+    """The node's own properties of this label."""
+    return select(g, node, label, graph=graph).where("kind = 'P'")
+
+
+def getedge(g: Graph, node: str, label: str, graph: str | None = None) -> DataFrame:
+    """The node's own edges of this label."""
+    return select(g, node, label, graph=graph).where("kind = 'E'")

@@ -128,8 +128,9 @@ m1 as (select distinct r, k, l, p, i, e, kind, label, payload, interp from p1)""
 
 
 def _merged(g: Graph, *labels: str) -> Graph:
-    wanted = [V + x for x in labels]
-    return merge.merge(Graph(g.nodes, g.assertions.where(F.col("label").isin(wanted)))) if labels else merge.merge(g)
+    """The whole graph merged; of that the rows with the labels."""
+    m = merge.merge(g)
+    return Graph(m.nodes, m.assertions.where(F.col("label").isin([V + x for x in labels]))) if labels else m
 
 
 @query(f"{_MERGED}####select label, kind, 0 as depth, count(*) as n from m0 group by all union all select label, kind, 1, count(*) from m1 group by all", write=True)
@@ -176,11 +177,16 @@ def merge_nested_union(g):
     return m.where("depth = 1").join(parents, "parent_occ").select("root", "parent_interp", "value")
 
 
-@query(f"select root, label, coalesce(target, value) as payload from (select distinct root, label, target, value from a where label in ('{V}inNation', '{V}placedBy'))", write=True)
+_MERGED_ROWS = f"{_MERGED}####select root, label, payload, eff as interp, nullif(ident, '') as id, 0 as depth from m0 union all select r, label, payload, interp, null, 1 from m1"
+
+
+def _merged_rows(g: Graph) -> DataFrame:
+    return g.assertions.select("root", "label", F.coalesce("target", "value").alias("payload"), "interp", "id", "depth")
+
+
+@query(_MERGED_ROWS, write=True)
 def union_two_graphs(g):
-    part = lambda *labels: Graph(g.nodes, g.assertions.where(F.col("label").isin([V + x for x in labels])))
-    both = merge.union(part("inNation", "placedBy"), part("placedBy"))
-    return both.assertions.select("root", "label", F.col("target").alias("payload"))
+    return _merged_rows(merge.union(g, Graph(g.nodes, g.assertions.where("kind = 'E' and depth = 0"))))
 
 
 @query(f"select a.id from (select distinct id from a where id is not null) a join (select id from nodes union all select '{NS}line/' || cast(i as string) || '-1-' || cast(j as string) from range(1, 50) t(i), range(1, 200) u(j)) n on n.id = a.id")
@@ -209,23 +215,32 @@ def edge_hop(g):
     return g.edge_hop.select("occ", "source", "target", "label")
 
 
-@query("select 1 as one where false union all select 1 from a where (kind = 'E' and target is null) or (kind = 'P' and value is null)", write=True)
+_K = f"cast(substring(root, {len(NS) + 10}) as int) % 5"
+
+
+@query(f"select 'dirty/' || occ as occ, ['property without value', 'edge without target', 'orphan', 'unknown kind', 'wrong depth'][{_K} + 1] as fault from a where label = '{V}mktsegment'", write=True)
 def structure_faults(g):
+    """Sound rows have no faults; a spoilt copy of each customer's segment has one of five."""
     from ..schema import structure_faults as faults
 
-    return faults(g).select(F.lit(1).alias("one"))
+    k = F.expr(_K)
+    spoilt = g.assertions.where(F.col("label") == V + "mktsegment").withColumns({
+        "occ": F.concat(F.lit("dirty/"), "occ"), "value": F.when(k != 0, F.col("value")), "kind": F.when(k == 1, "E").when(k == 3, "X").otherwise("P"),
+        "parent_occ": F.when(k == 2, "nowhere"), "depth": F.when(k.isin(2, 4), 1).otherwise(0),
+    })
+    return faults(Graph(g.nodes, g.assertions.unionByName(spoilt))).select("occ", "fault")
 
 
 _SCOPE = f"hop as (select origin, target from a where kind = 'E' and depth = 0 and target in (select id from nodes)), r0 as (select '{CUSTOMER}' as id union select '{ORDER}7'), r1 as (select id from r0 union select target from hop join r0 on r0.id = origin), r2 as (select id from r1 union select target from hop join r1 on r1.id = origin)"
 
 
-@query(f"{_SCOPE}####select occ from a where root in (select id from r2)", write=True)
+@query(f"{_SCOPE}####select occ from a join r2 on r2.id = root", write=True)
 def subgraph_2hop(g):
     roots = g.nodes.sparkSession.createDataFrame([(CUSTOMER,), (ORDER + "7",), (NS + "nobody",)], "id string")
     return paths.subgraph(g, roots, 2).assertions.select("occ")
 
 
-@query(f"{_SCOPE}####select id, len(types) = 0 as bare from nodes where id in (select id from r2) union select target, true from a where kind = 'E' and root in (select id from r2) and target not in (select id from r2) and target not in (select id from a where id is not null and root in (select id from r2))", write=True)
+@query(f"{_SCOPE}####select id, len(types) = 0 as bare from nodes where id in (select id from r2) union select target, true from a join r2 on r2.id = root left join r2 inside on inside.id = target left join (select x.id as i from a x join r2 on r2.id = x.root where x.id is not null) named on named.i = target where kind = 'E' and inside.id is null and named.i is null", write=True)
 def subgraph_2hop_nodes(g):
     roots = g.nodes.sparkSession.createDataFrame([(CUSTOMER,), (ORDER + "7",)], "id string")
     return paths.subgraph(g, roots, 2).nodes.select("id", (F.size("types") == 0).alias("bare"))
@@ -237,12 +252,12 @@ def _reach(start: str, hops: int) -> str:
 
 @query(_reach(ORDER + "1", 3))
 def reachable_3hop(g):
-    return paths.reachable(g, ORDER + "1", V + "followedBy", 3)
+    return paths.reachable(g, ORDER + "1", V + "followedBy", 3).select("id")
 
 
 @query(_reach(ORDER + "7", 12))
 def reachable_12hop(g):
-    return paths.reachable(g, ORDER + "7", V + "followedBy", 12)
+    return paths.reachable(g, ORDER + "7", V + "followedBy", 12).select("id")
 
 
 def _chain(*labels: str) -> str:
@@ -252,12 +267,12 @@ def _chain(*labels: str) -> str:
 
 @query(_chain("followedBy", "followedBy"))
 def pattern_friend_of_friend(g):
-    return paths.path(g, [V + "followedBy"] * 2)
+    return paths.path(g, [V + "followedBy"] * 2).select("source", "target")
 
 
 @query(_chain("inNation", "inRegion"))
 def pattern_two_labels(g):
-    return paths.path(g, [V + "inNation", V + "inRegion"])
+    return paths.path(g, [V + "inNation", V + "inRegion"]).select("source", "target")
 
 
 @query("select label, count(*) as n from a where kind = 'E' and depth = 0 group by label")
@@ -280,14 +295,17 @@ def unknown_interps(g):
     return interp.unknown_interps(g)
 
 
-@query(f"select occ, cast(cast(value as decimal(38,2)) as string) as number from a where kind = 'P' and interp = '{INTERP}number' and {_NUMBER_SQL}")
+@query(f"select occ, cast(cast(value as decimal(38,18)) as string) as number from a where kind = 'P' and interp = '{INTERP}number' and {_NUMBER_SQL}")
 def value_number(g):
-    return interp.typed(g).where("value_number is not null").select("occ", F.col("value_number").cast("decimal(38,2)").cast("string").alias("number"))
+    return interp.typed(g).where("value_number is not null").select("occ", F.col("value_number").cast("string").alias("number"))
 
 
-@query(f"select occ, cast(cast(value as date) as string) as day from a where kind = 'P' and interp = '{INTERP}datetime'")
+@query(f"select occ, value as day, case when depth = 1 then value || ' 10:30:00' end as instant from a where kind = 'P' and interp = '{INTERP}datetime'")
 def value_datetime(g):
-    return interp.typed(g).where("value_datetime is not null").select("occ", F.col("value_datetime").cast("date").cast("string").alias("day"))
+    """Nested dates get a time of day; dates alone have no instant."""
+    timed = F.when((F.col("depth") == 1) & (F.col("interp") == INTERP + "datetime"), F.concat("value", F.lit("T10:30:00"))).otherwise(F.col("value"))
+    rows = interp.typed_instants(Graph(g.nodes, g.assertions.withColumn("value", timed)))
+    return rows.select("occ", F.col("day").cast("string").alias("day"), F.date_format("instant", "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
 @query(f"select occ, value = 'true' as truth from a where interp = '{INTERP}boolean' and value in ('true', 'false')")
@@ -295,10 +313,16 @@ def value_boolean(g):
     return interp.typed(g).where("value_boolean is not null").select("occ", F.col("value_boolean").alias("truth"))
 
 
-@query(f"select occ, rtrim(rtrim(value, '0'), '.') as canonical from a where kind = 'P' and interp = '{INTERP}number' and {_NUMBER_SQL} and contains(value, '.')")
+@query(
+    f"select occ, case when contains(value, '.') then rtrim(rtrim(value, '0'), '.') else value end as canonical, cast(cast(cast(value as decimal(38,2)) * 100 as bigint) as string) as hundredfold, cast(cast(cast(value as decimal(38,2)) as bigint) as string) as whole "
+    f"from (select occ, value from a where kind = 'P' and (interp = '{INTERP}number' or interp = '{INTERP}size') and {_NUMBER_SQL})"
+)
 def canonical_number(g):
-    numbers = g.assertions.where((F.col("kind") == "P") & (F.col("interp") == INTERP + "number") & F.contains("value", F.lit(".")))
-    return numbers.select("occ", interp.canonical_number("value").alias("canonical")).where("canonical is not null")
+    """Numbers with a point and without, with an exponent, and with zeros only behind the point."""
+    numbers = g.assertions.where((F.col("kind") == "P") & F.col("interp").isin(INTERP + "number", INTERP + "size"))
+    whole = F.concat(F.round(F.col("value").try_cast("decimal(38,2)")).cast("decimal(38,0)").cast("string"), F.lit(".000"))
+    forms = {"canonical": F.col("value"), "hundredfold": F.concat("value", F.lit("e2")), "whole": whole}
+    return numbers.select("occ", *(interp.canonical_number(v).alias(n) for n, v in forms.items())).where("canonical is not null")
 
 
 @query(f"select id, 'kg:' || id[{len(NS) + 1}:] as short, '<' || id || '>' as far from nodes")
@@ -329,14 +353,14 @@ def projection_vertices(g):
     return analytics.vertices(g).select("id", F.coalesce(text, F.lit("")).alias("attrs"))
 
 
-@query("select occ, origin as source, target, label from a where kind = 'E' and depth = 0 and target not in (select id from a where id is not null)")
+@query("named as (select distinct id as i from a where id is not null)####select occ, origin as source, target, label from a left join named on i = target where kind = 'E' and depth = 0 and i is null")
 def projection_edges(g):
     return analytics.edges(g).select("occ", "source", "target", "label")
 
 
-@query("e as (select origin, target from a where kind = 'E' and depth = 0 and target not in (select id from a where id is not null))####select id, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select origin as id, 0 as i, 1 as o from e union all select target, 1, 0 from e) group by id")
+@query("named as (select distinct id as i from a where id is not null), e as (select origin, target from a left join named on i = target where kind = 'E' and depth = 0 and i is null)####select id, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select origin as id, 0 as i, 1 as o from e union all select target, 1, 0 from e) group by id")
 def degree(g):
-    return analytics.degree(g)
+    return analytics.degree(g).select("id", "n_in", "n_out")
 
 
 @query(f"c as (select target as id, cast(count(*) as string) as value from a where label = '{V}placedBy' group by target)####select root, value, interp from a where label = '{V}acctbal' and root not in (select id from c) union all select id, value, '{INTERP}number' from c where id in (select id from nodes)", write=True)
@@ -349,23 +373,22 @@ def write_back_replace(g):
 @query(f"p as (select root, min(case when label = '{V}name' then value end) as name, min(case when label = '{V}acctbal' then value end) as balance, min(case when label = '{V}active' then value end) as active from a where kind = 'P' and depth = 0 group by root)####select id, name, cast(cast(balance as decimal(38,2)) as string) as balance, case when active in ('true', 'false') then active = 'true' end as active from nodes left join p on p.root = id where list_contains(types, '{V}Customer')")
 def project_customers(g):
     out = analytics.project(g, V + "Customer", {"name": (V + "name", None), "balance": (V + "acctbal", INTERP + "number"), "active": (V + "active", INTERP + "boolean")})
-    return out.withColumn("balance", F.col("balance").cast("decimal(38,2)").cast("string"))
+    return out.drop("graph").withColumn("balance", F.col("balance").cast("decimal(38,2)").cast("string"))
 
 
-@query(f"gone as (select occ from a where depth = 0 and origin = '{ORDER}10' and label = '{V}totalprice' and id is null)####select occ from a where occ not in (select occ from gone) and coalesce(parent_occ, '') not in (select occ from gone)", write=True)
+@query(f"gone as (select occ from a where depth = 0 and origin = '{ORDER}10' and label = '{V}totalprice' and id is null)####select a.occ from a left join gone x on x.occ = a.occ left join gone y on y.occ = a.parent_occ where x.occ is null and y.occ is null", write=True)
 def remove_skeleton_cascade(g):
     price = g.assertions.where((F.col("root") == ORDER + "10") & (F.col("label") == V + "totalprice")).select("value").first()
     return select.remove_skeleton(g, ORDER + "10", V + "totalprice", price[0] if price else "").assertions.select("occ")
 
 
-@query(f"{_MERGED}####select root, label, payload, eff as interp from m0 where label in ('{V}name', '{V}inNation', '{V}acctbal')", write=True)
+@query(_MERGED_ROWS, write=True)
 def store_put_get_roundtrip(g):
     spark = g.nodes.sparkSession
-    part = Graph(g.nodes, g.assertions.where(F.col("label").isin(V + "name", V + "inNation", V + "acctbal")))
     store = open_store(spark, scratch_path(spark, "store"))
-    store.put("main", part)
-    store.put("main", Graph(part.nodes, part.assertions.where("kind = 'E'")))
-    return store.get("main").assertions.select("root", "label", F.coalesce("target", "value").alias("payload"), "interp")
+    store.put("main", g)
+    store.put("main", Graph(g.nodes, g.assertions.where("kind = 'E' and depth = 0")))
+    return _merged_rows(store.get("main"))
 
 
 _LAST = "regexp_extract({}, '([^/#]*)$', 1)"
@@ -387,21 +410,109 @@ def dot_diagram(g):
     return dot_lines(g)
 
 
-def _literate_part(g: Graph) -> Graph:
-    wanted = [V + x for x in ("name", "inRegion", "inNation", "acctbal", "active", "mktsegment")]
-    return Graph(g.nodes.where(F.arrays_overlap("types", F.array(*(F.lit(V + t) for t in ("Region", "Nation", "Customer"))))), g.assertions.where(F.col("label").isin(wanted) & ~F.startswith("root", F.lit(NS + "supplier")) & ~F.startswith("root", F.lit(NS + "part"))))
+@query("select root, label, coalesce(target, value) as payload, interp, id, depth from a", write=True)
+def literate_roundtrip(g):
+    """The whole graph as text and back: every row at every depth, with ids and interpretations."""
+    texts = literate.write_literate(g, schema=V, nodebase=NS, prefixes={"kg": NS})
+    back = literate.read_literate(g.nodes.sparkSession, texts.select(F.concat("graph", F.lit("/"), F.col("part").cast("string")).alias("name"), "text"))
+    return _merged_rows(back)
 
 
-@query(f"select root, label, coalesce(target, value) as payload, interp from a where label in ({', '.join(repr(V + x) for x in ('name', 'inRegion', 'inNation', 'acctbal', 'active', 'mktsegment'))}) and root not like '{NS}supplier%' and root not like '{NS}part%'")
-def literate_roundtrip(g):
-    texts = literate.write_literate(_literate_part(g), schema=V, nodebase=NS, prefixes={"kg": NS})
-    back = literate.read_literate(g.nodes.sparkSession, texts.withColumnRenamed("graph", "name"))
-    return back.assertions.select("root", "label", F.coalesce("target", "value").alias("payload"), "interp")
+def _pagerank_sql(rounds: int = 10, damping: float = 0.85) -> str:
+    parts = ["e as materialized (select distinct origin as s, target as t from a where kind = 'E' and depth = 0)", "ids as materialized (select s as id from e union select t from e)", "total as (select count(*) as n from ids)", "links as materialized (select s, t, count(*) over (partition by s) as outs from e)", "r0 as (select id, 1.0::double / n as rank from ids, total)"]
+    for i in range(rounds):
+        flow = f"(select t as id, sum(rank / outs) as got from links join r{i} on r{i}.id = s group by t)"
+        moved = f"(select sum(rank) as moved from r{i} where id in (select s from e))"
+        parts.append(f"r{i + 1} as materialized (select ids.id, {1 - damping!r}::double / n + {damping!r}::double * (1 - moved) / n + {damping!r}::double * coalesce(got, 0) as rank from ids cross join total cross join {moved} left join {flow} f on f.id = ids.id)")
+    return ", ".join(parts) + f"####select id, cast(cast(rank as decimal(20,12)) as string) as rank from r{rounds}"
 
 
-@query()
+@query(_pagerank_sql())
 def pagerank(g):
-    return analytics.pagerank(g.edge_hop.where(F.col("label").isin(V + "inNation", V + "inRegion", V + "placedBy"))).select("id", F.round("rank", 12).alias("rank"))
+    return analytics.pagerank(g.edge_hop).select("id", F.col("rank").cast("decimal(20,12)").cast("string").alias("rank"))
+
+
+def _propagation_sql(rounds: int) -> str:
+    parts = [f"e as (select distinct origin as s, target as t from a where kind = 'E' and depth = 0 and label in ('{V}inNation', '{V}inRegion')), both as materialized (select s, t from e union select t, s from e)", "c0 as (select distinct s as id, s as community from both)"]
+    for i in range(rounds):
+        votes = f"(select s as id, community, count(*) as n from both join c{i} on c{i}.id = t group by all)"
+        parts.append(f"c{i + 1} as materialized (select id, arg_min(community, (-n, community)) as community from {votes} group by id)")
+    return ", ".join(parts) + f"####select id, community from c{rounds}"
+
+
+@query(_propagation_sql(3))
+def label_propagation(g):
+    return analytics.label_propagation(g.edge_hop.where(F.col("label").isin(V + "inNation", V + "inRegion")), 3)
+
+
+_TYPED = f"kept as materialized (select id from nodes where list_has_any(types, ['{V}Nation', '{V}Region', '{V}Party']))"
+
+
+@query(f"{_TYPED}####select occ from a join kept k on k.id = root left join kept t on t.id = target where kind = 'P' or t.id is not null", write=True)
+def restricted_subgraph(g):
+    return paths.restrict(g, [V + "Nation", V + "Region", V + "Party"]).assertions.select("occ")
+
+
+@query(f"select root as id, cast(max(cast(value as decimal(38,2))) as string) as value from a join nodes n on n.id = root where label = '{V}acctbal' and list_contains(types, '{V}Customer') group by root order by max(cast(value as decimal(38,2))) desc, root limit 20")
+def top_balances(g):
+    return analytics.top_by_value(g, V + "acctbal", 20, type_=V + "Customer").select("id", F.col("value").cast("decimal(38,2)").cast("string").alias("value"))
+
+
+@query(f"{_NOTES}, named as (select distinct id as i from a where id is not null)####select a.occ, origin as source, target, label, coalesce(notes, '') as attributes from a left join named on i = target left join notes on notes.parent_occ = a.occ where kind = 'E' and depth = 0 and i is null")
+def edges_with_attributes(g):
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("annotations")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return analytics.edges(g, attributes=True).select("occ", "source", "target", "label", F.coalesce(text, F.lit("")).alias("attributes"))
+
+
+@query("select 'main' as graph, count(*) as n from a where kind = 'E' and depth = 0 and target in (select id from a where id is not null)")
+def skipped_edges(g):
+    return analytics.skipped_edges(g)
+
+
+@query(f"select occ, interp from a where interp is not null and interp not in ({', '.join(repr(INTERP + x) for x in ('number', 'datetime', 'boolean', 'iri', 'text'))})")
+def unknown_interp_rows(g):
+    return interp.unknown_rows(g).select("occ", "interp")
+
+
+@query("select coalesce(parent_occ, root) as source, occ as target, 'has' as label from a union all select occ, target, 'to' from a where kind = 'E'")
+def reified_edges(g):
+    paths.register_views(g, "reified_")
+    return paths.graph_table(g.nodes.sparkSession, "select source, target, label from reified_reified_edges")
+
+
+def _two(g: Graph) -> Graph:
+    """The graph, and beside it under another name its customers, orders and their edges the other way round: ids are shared, edges are not."""
+    turned = g.assertions.where((F.col("kind") == "E") & (F.col("depth") == 0) & F.col("label").isin(V + "followedBy", V + "placedBy"))
+    turned = turned.withColumns({"graph": F.lit("turned"), "root": F.col("target"), "origin": F.col("target"), "target": F.col("origin")})
+    return Graph(g.nodes.union(g.nodes.withColumn("graph", F.lit("turned"))), g.assertions.union(turned))
+
+
+_TURNED = f"two as materialized (select 'main' as graph, origin, target, label from a where kind = 'E' and depth = 0 union all select 'turned', target, origin, label from a where kind = 'E' and depth = 0 and label in ('{V}followedBy', '{V}placedBy'))"
+
+
+@query(f"{_TURNED}, h1 as (select distinct graph, target as id from two where origin = '{ORDER}7' and label = '{V}followedBy'), h2 as (select two.graph, target as id from two join h1 on h1.graph = two.graph and h1.id = origin where label = '{V}followedBy' union select graph, id from h1)####select graph, id from h2", write=True)
+def reachable_two_graphs(g):
+    return paths.reachable(_two(g), ORDER + "7", V + "followedBy", 2)
+
+
+@query(f"{_TURNED}, named as (select distinct id as i from a where id is not null), e as (select graph, origin, target from two left join named on i = target and graph = 'main' where i is null)####select graph, id, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select graph, origin as id, 0 as i, 1 as o from e union all select graph, target, 1, 0 from e) group by graph, id", write=True)
+def degree_two_graphs(g):
+    return analytics.degree(_two(g))
+
+
+@query(f"c as (select target as id, count(*) as value from a where label = '{V}placedBy' group by target)####select g as graph, id as root, cast(value as string) as value from c, (values ('main'), ('turned')) t(g)", write=True)
+def write_back_two_graphs(g):
+    counts = g.edge_hop.where(F.col("label") == V + "placedBy").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("value"))
+    done = analytics.write_back(_two(g), V + "orders", counts, INTERP + "number")
+    return done.assertions.where(F.col("label") == V + "orders").select("graph", "root", "value")
+
+
+@query(f"select origin, '{V}visits' as label, target, 1 as n from a where label = '{V}performed' and depth = 0 group by origin, target", write=True)
+def add_edges(g):
+    """An edge for each pair that has one of another label."""
+    pairs = g.edge_hop.where(F.col("label") == V + "performed").select(F.col("source").alias("origin"), F.lit(V + "visits").alias("label"), F.col("target").alias("payload")).distinct()
+    done = select.add_edge(g, pairs)
+    return done.assertions.where(F.col("label") == V + "visits").groupBy("origin", "label", "target").agg(F.count("*").cast("int").alias("n"))
 
 
 @query(f"e as (select origin as s, target as t from a where kind = 'E' and depth = 0 and label = '{V}followedBy' union select target, origin from a where kind = 'E' and depth = 0 and label = '{V}followedBy'), recursive_part(id, c) as (select s, s from e union select t, c from recursive_part join e on s = id where t > c)####select id, min(c) as component from (select * from recursive_part union all select s, s from e) group by id")

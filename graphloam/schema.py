@@ -40,11 +40,6 @@ class Graph:
     def edge_hop(self) -> DataFrame:
         return self.assertions.where("kind = 'E' and depth = 0").select("graph", "occ", F.col("origin").alias("source"), "target", "label")
 
-    @property
-    def idents(self) -> DataFrame:
-        named = self.assertions.where("id is not null").select("graph", "id", F.lit(False).alias("is_node"))
-        return self.nodes.select("graph", "id", F.lit(True).alias("is_node")).union(named)
-
     def payload(self) -> DataFrame:
         return self.assertions.withColumn("payload", F.coalesce("target", "value"))
 

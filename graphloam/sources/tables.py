@@ -101,7 +101,7 @@ NODE_BRANCHES = [
 ASSERTION_SQL = "\nunion all ".join(ASSERTION_BRANCHES)
 NODE_SQL = "\nunion all ".join(NODE_BRANCHES)
 #: For DuckDB: common table expressions ``nodes`` and ``a``.
-CTES = f"nodes as (select graph, id, types from ({NODE_SQL.replace('array(', 'list_value(')}) n),\na as ({ASSERTION_SQL})"
+CTES = f"nodes as materialized (select graph, id, types from ({NODE_SQL.replace('array(', 'list_value(')}) n),\na as materialized ({ASSERTION_SQL})"
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
