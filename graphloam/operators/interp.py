@@ -167,8 +167,8 @@ def has_time(v: Column) -> Column:
 
 def typed_instants(g: Graph) -> DataFrame:
     """(graph, occ, day, instant) of datetime properties: a date alone has a day only."""
-    rows = value_of(g, INTERP + "datetime").where("value is not null").withColumnRenamed("value", "read")
-    rows = rows.join(g.assertions.select("graph", "occ", "value"), ["graph", "occ"])
+    own = (F.col("kind") == "P") & (F.col("interp") == INTERP + "datetime")
+    rows = g.assertions.where(own).withColumn("read", DEFAULT[INTERP + "datetime"].read(F.col("value"))).where("read is not null")
     return rows.select("graph", "occ", F.col("read").cast("date").alias("day"), F.when(has_time(F.col("value")), F.col("read")).alias("instant"))
 
 

@@ -22,7 +22,7 @@ def _rounds(hop: DataFrame, start: DataFrame, hops: int, seen: DataFrame) -> Dat
         written.append(found)
         if found.isEmpty():
             break
-        frontier, visited = found, visited.union(found)
+        frontier, visited = found, visited.unionByName(found)
     out = write_table(visited, "reached")
     for table in written:
         drop_table(table)
@@ -38,7 +38,7 @@ def reachable(g: Graph, root: str, label: str, max_hops: int) -> DataFrame:
 
 def within(g: Graph, roots: DataFrame, hops: int) -> DataFrame:
     """(graph, id): the roots that exist and all nodes up to ``hops`` first-level edges away. ``roots`` has ``id``, in all graphs, or ``graph`` too."""
-    known = g.nodes.select(KEY).join(roots.select([c for c in KEY if c in roots.columns]).distinct(), [c for c in KEY if c in roots.columns], "left_semi").distinct()
+    known = g.nodes.select(KEY).join(roots.select([c for c in KEY if c in roots.columns]).distinct(), [c for c in KEY if c in roots.columns], "left_semi").select(KEY).distinct()
     edges = g.edge_hop.join(g.nodes.select("graph", F.col("id").alias("target")), ["graph", "target"], "left_semi")
     return _rounds(edges, known, hops, known)
 

@@ -433,9 +433,9 @@ def pagerank(g):
 
 
 def _propagation_sql(rounds: int) -> str:
-    parts = [f"e as (select distinct origin as s, target as t from a where kind = 'E' and depth = 0 and label in ('{V}inNation', '{V}inRegion')), both as materialized (select s, t from e union select t, s from e)", "c0 as (select distinct s as id, s as community from both)"]
+    parts = [f"e as (select distinct origin as s, target as t from a where kind = 'E' and depth = 0 and label in ('{V}inNation', '{V}inRegion')), sym as materialized (select s, t from e union select t, s from e)", "c0 as (select distinct s as id, s as community from sym)"]
     for i in range(rounds):
-        votes = f"(select s as id, community, count(*) as n from both join c{i} on c{i}.id = t group by all)"
+        votes = f"(select s as id, community, count(*) as n from sym join c{i} on c{i}.id = t group by all)"
         parts.append(f"c{i + 1} as materialized (select id, arg_min(community, (-n, community)) as community from {votes} group by id)")
     return ", ".join(parts) + f"####select id, community from c{rounds}"
 

@@ -34,7 +34,8 @@ def _day(x: str) -> str:
     return f"cast(cast({x} as date) as string)"
 
 
-_line = "cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string)"
+_minus = "'-' || cast(o_orderkey as string)"
+_line = "cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) || '-' || " + _money("l_quantity") + " || '-' || " + _money("l_extendedprice")
 _line_id = f"'{NS}line/' || cast(l_orderkey as string) || '-1-' || cast(l_partkey as string)"
 _line_ident = f"case when l_linenumber = 1 then {_line_id} end"
 _line_occ = f"'order/contains/' || {_line}"
@@ -57,16 +58,16 @@ ASSERTION_BRANCHES = [
     _row("part", "part", "p_partkey", "type", value="p_type"),
     _row("part", "part", "p_partkey", "size", value="cast(p_size as string)", interp="size"),
     _row("orders", "order", "o_orderkey", "totalprice", value=_money("o_totalprice"), interp="number"),
-    _row("orders", "order", "o_orderkey", "totalprice", value=_money("o_totalprice"), interp="number", occ="-o_orderkey", where="o_orderkey % 10 = 0"),
+    _row("orders", "order", "o_orderkey", "totalprice", value=_money("o_totalprice"), interp="number", occ=_minus, where="o_orderkey % 10 = 0"),
     _row("orders", "order", "o_orderkey", "totalprice", value=_money("o_totalprice"), occ="o_orderkey + 0.5", where="o_orderkey % 30 = 0"),
     _row("orders", "order", "o_orderkey", "totalprice", value=_money("o_totalprice"), interp="text", occ="o_orderkey + 0.25", where="o_orderkey % 70 = 0"),
     *(
-        _row("orders", "order", "o_orderkey", "checkedBy", value=f"'{who}'", where="o_orderkey % 10 = 0", occ=f"{sign}o_orderkey", depth=1, origin="cast(null as string)", parent=f"'order/totalprice/' || cast({sign}o_orderkey as string)")
-        for who, sign in (("audit", ""), ("desk", "-"))
+        _row("orders", "order", "o_orderkey", "checkedBy", value=f"'{who}'", where="o_orderkey % 10 = 0", occ=key, depth=1, origin="cast(null as string)", parent=f"'order/totalprice/' || cast({key} as string)")
+        for who, key in (("audit", "o_orderkey"), ("desk", _minus))
     ),
     _row("orders", "order", "o_orderkey", "orderdate", value=_day("o_orderdate"), interp="datetime"),
     _row("orders", "order", "o_orderkey", "placedBy", target=_id("customer", "o_custkey")),
-    _row("orders", "order", "o_orderkey", "placedBy", target=_id("customer", "o_custkey"), occ="-o_orderkey", where="o_orderkey % 10 = 0"),
+    _row("orders", "order", "o_orderkey", "placedBy", target=_id("customer", "o_custkey"), occ=_minus, where="o_orderkey % 10 = 0"),
     _row(_chain, "order", "o_orderkey", "followedBy", target=_id("order", "o_next"), where="o_next is not null"),
     _row("lineitem", "order", "l_orderkey", "contains", target=_id("part", "l_partkey"), occ=_line, ident=_line_ident),
     _row("lineitem", "order", "l_orderkey", "quantity", value=_money("l_quantity"), interp="number", occ=_line, parent=_line_occ, depth=1, origin=_line_ident),
