@@ -169,6 +169,26 @@ def test_faults_are_told():
     assert literate.parse("# X [T]\n\n* knows => Y\n", lenient_arrows=True).rows[0]["kind"] == "E"
 
 
+def test_parser_options():
+    head = "# @docheader\n\n* @document: http://e.org/d\n* @schema: http://e.org/v\n* title: x\n\n# N [T]\n\n* a: 1\n\t* b: 2\n"
+    p = literate.parse(head, add_source=True)
+    assert [e[1] for e in p.errors] == ["namespace-base-warning"] and [e[1] for e in literate.parse(head, strict_namespace_bases=True).errors] == ["namespace-base"]
+    assert [r["depth"] for r in p.rows if r["label"] != literate.SOURCE] == [0, 0, 1] and sum(r["label"] == literate.SOURCE for r in p.rows) == 3
+    assert [e[1] for e in literate.parse(head.replace("/v\n", "/v/\n"), warn_implicit_doc_ids=True).errors] == ["implicit-document"]
+    clash = "# @docheader\n\n* @schema: http://e.org/v/\n* @iri:\n    * schema: http://o.org/\n* @interpretations:\n    * a: number\n    * a: text\n"
+    assert [e[1] for e in literate.parse(clash).errors] == ["interp-twice", "schema-prefix"]
+    assert not literate.parse("# X\n", warn_empty_blocks=False).errors and literate.parse("a", "n").errors
+
+
+def test_targets_in_other_documents(spark):
+    one = "# A [T]\n\n* knows -> B\n    * @id: http://e.org/e1\n"
+    two = "# C [T]\n\n* doubts -> <http://e.org/e1>\n* likes -> <http://e.org/nobody>\n"
+    texts = spark.createDataFrame([(None, one), (None, two)], "name string, text string")
+    g = literate.read_literate(spark, texts, graph="g", mode="failfast")
+    assert {r.id for r in g.nodes.collect()} == {"A", "B", "C", "http://e.org/nobody"}
+    assert g.assertions.count() == g.assertions.select("occ").distinct().count() == 3
+
+
 def test_text_round_trip(spark):
     texts = spark.createDataFrame([("d", DOC)], "name string, text string")
     g = literate.read_literate(spark, texts)
