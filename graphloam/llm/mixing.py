@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import drop_table, fresh_names, ship_package, write_table
+from ..session import drop_table, fresh_names, local_table, ship_package, write_table
 
 #: A process remembers so many nodes of the tree at once; others are drawn again when they are wanted.
 _REMEMBERED = 4096
@@ -227,7 +228,7 @@ def _deal(docs: DataFrame, names: list, counts: list[int], rows: list[int], bloc
     shard, position = fresh_names(docs, "shard", "position")
     tree = SplittingTree([-(-n // block) for n in rows] or [0], max(1, round(sum(rows) / shard_docs)), seed)
     wanted = [(i, n, max(1, -(-c // bucket_docs)), r) for i, (n, c, r) in enumerate(zip(names, counts, rows)) if r]
-    known = F.broadcast(spark.createDataFrame(wanted, "ix int, s string, nb long, want long"))
+    known = F.broadcast(local_table(spark, wanted, ix=pa.int32(), s=pa.string(), nb=pa.int64(), want=pa.int64()))
     plain = [f"c{i}" for i in range(len(docs.columns))]
     hashed = docs.toDF(*plain)
     hashed = hashed.select("*", _row_hash(hashed.schema, seed).alias("k1"), _row_hash(hashed.schema, seed + 1).alias("k2"))
@@ -252,7 +253,7 @@ def _deal(docs: DataFrame, names: list, counts: list[int], rows: list[int], bloc
     dealt = write_table(dealt.select("ix", "k1", "k2", "shard", "position"), "mix-dealt")
     drop_table(keys)
     last = {r.ix: r.k for r in dealt.groupBy("ix").agg(F.max("k1").alias("k")).collect()}
-    ends = F.broadcast(spark.createDataFrame([(n, last[i]) for i, n, _, _ in wanted], "s string, last long"))
+    ends = F.broadcast(local_table(spark, [(n, last[i]) for i, n, _, _ in wanted], s=pa.string(), last=pa.int64()))
     taken = hashed.join(ends, source.eqNullSafe(F.col("s"))).where("k1 <= last").select(*plain, "k1", "k2").dropDuplicates(["k1", "k2"])
     out = taken.join(dealt.select("k1", "k2", "shard", "position"), ["k1", "k2"])
     return out.select(*(F.col(a).alias(b) for a, b in zip(plain, docs.columns)), F.col("shard").alias(shard), F.col("position").alias(position))

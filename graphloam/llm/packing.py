@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -11,20 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_table, ship_package, write_table
-from .kernels import buffers, slices
+from ..session import drop_table, local_table, ship_package, write_table
+from .kernels import buffers, slices, trim
 from .tokens import VOCAB, tokenizer
 
 SCHEMA = "shard bigint, window int, n_tokens int, n_padding int, n_truncated bigint, doc_ids array<{id}>, doc_ends array<int>, tokens binary"
 _TYPES = {"shard": pa.int64(), "window": pa.int32(), "n_tokens": pa.int32(), "n_padding": pa.int32(), "n_truncated": pa.int64(), "doc_ids": None, "doc_ends": pa.list_(pa.int32()), "tokens": pa.binary()}
 _SLICE = 1 << 20
+#: Bytes of ids in a batch of windows: a whole shard at once would be held by the worker and by its JVM.
+_OUT = 1 << 20
 
 
 #: Cost of an id cut off, far above that of any cut: none is while windows have places to end at.
 _NEVER = 1 << 40
 
 
-def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, split: int, more: list[int] | None = None) -> list[int]:
+def best_cuts(ends: Sequence[int], is_doc: Sequence[bool], capacity: int, over: int, split: int, more: Sequence[int] | None = None) -> list[int]:
     """Indexes into ``ends`` (rising token counts at which a window may end) of the cheapest cuts; the last is always one.
 
     A window of n tokens costs capacity - n if it fits, else over * (n - capacity) for what is cut off; a cut that isn't
@@ -34,7 +38,8 @@ def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, spl
     n = len(ends)
     if not n:
         return []
-    pos, f, back = [0, *ends], [0] * (n + 1), [0] * (n + 1)
+    pos, f, back = array("q", [0]), [0] * (n + 1), array("q", bytes(8 * (n + 1)))
+    pos.extend(ends)
     queue: deque[tuple[int, int]] = deque()  # (f + position, index), both rising
     low, far, far_at = 0, None, -1
     for j in range(1, n + 1):
@@ -64,24 +69,35 @@ def best_cuts(ends: list[int], is_doc: list[bool], capacity: int, over: int, spl
 
 
 class _Shard:
+    """What is known of a shard so far: ids at their final width, and places as packed integers."""
+
     def __init__(self, number: int):
-        self.docs = 0
-        self.number, self.ids, self.ends, self.is_doc, self.inside, self.doc_ids, self.doc_ends, self.total = number, [], [], [], [], [], [], 0
-
-    def windows(self, capacity: int, over: int, split: int, width: str, id_type: pa.DataType) -> pa.RecordBatch:
-        ids = np.concatenate(self.ids)
-        ends = np.concatenate(self.ends).tolist()
-        is_doc = np.concatenate(self.is_doc).tolist()
-        inside = np.concatenate(self.inside)
-        more = ((over - 1) * split * inside).tolist() if inside.any() else None
-        doc_ends, rows, at = np.array(self.doc_ends), [], 0
-        for w, c in enumerate(best_cuts(ends, is_doc, capacity, _NEVER, split, more)):
-            end = ends[c]
+        self.number, self.ids, self.total = number, bytearray(), 0
+        self.ends, self.is_doc, self.inside, self.doc_ids, self.doc_ends = array("q"), bytearray(), bytearray(), [], array("q")
+
+    def add(self, doc_id, ids: np.ndarray, ends: np.ndarray, inside: np.ndarray, width: str) -> None:
+        self.ends.frombytes((ends + self.total).tobytes())
+        self.is_doc += bytes(len(ends) - 1) + b"\1"
+        self.inside += inside.tobytes()
+        self.ids += ids.astype(width).tobytes()
+        self.total += len(ids)
+        self.doc_ids.append(doc_id)
+        self.doc_ends.append(self.total)
+
+    def windows(self, capacity: int, over: int, split: int, width: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """The windows in order, in batches of about ``_OUT`` bytes of ids."""
+        more = array("q", ((over - 1) * split * np.frombuffer(self.inside, bool).astype(np.int64)).tobytes()) if any(self.inside) else None
+        doc_ends, size, rows, at, held = np.array(self.doc_ends), np.dtype(width).itemsize, [], 0, 0
+        types = [t or pa.list_(id_type) for t in _TYPES.values()]
+        for w, c in enumerate(best_cuts(self.ends, self.is_doc, capacity, _NEVER, split, more)):
+            end = self.ends[c]
             d0, d1 = np.searchsorted(doc_ends, at, side="right"), np.searchsorted(doc_ends, end, side="left")
             inner = np.minimum(doc_ends[d0 : d1 + 1], end) - at
-            rows.append((self.number, w, end - at, capacity - (end - at), max(0, end - at - capacity), self.doc_ids[d0 : d1 + 1], inner.tolist(), ids[at:end].astype(width).tobytes()))
-            at = end
-        return pa.RecordBatch.from_arrays([pa.array(c, t or pa.list_(id_type)) for c, t in zip(zip(*rows), _TYPES.values())], list(_TYPES))
+            rows.append((self.number, w, end - at, capacity - (end - at), max(0, end - at - capacity), self.doc_ids[d0 : d1 + 1], inner.tolist(), bytes(self.ids[at * size : end * size])))
+            at, held = end, held + len(rows[-1][-1])
+            if held >= _OUT or at == self.total:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(_TYPES))
+                rows, held = [], 0
 
 
 def _boundaries(tok, ids: np.ndarray) -> np.ndarray:
@@ -119,7 +135,7 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
     shard = part_at = None
     for batch in batches:
         id_type = batch.column(1).type
-        _, offsets = buffers(batch.column(2))
+        offsets = buffers(batch.column(2))[1]
         for i, j in slices(offsets, _SLICE):
             part = batch.slice(i, j - i)
             raw = tok.encode_bytes([t or "" for t in part.column(2).to_pylist()])
@@ -129,8 +145,7 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
                         part_at, in_part = number, 0
                     number, in_part = firsts[number] + in_part // shard_docs, in_part + 1
                 if shard is not None and number != shard.number:
-                    if shard.total:
-                        yield shard.windows(capacity, over, split, width, id_type)
+                    yield from shard.windows(capacity, over, split, width, id_type)
                     shard = None
                 shard = shard or _Shard(number)
                 if not r:
@@ -142,14 +157,12 @@ def _pack(batches, vocab: str, capacity: int, over: int, split: int, eot: int |
                     mark[-2] = False
                 mark[-1] = True
                 ends, inside = _places(tok, body, mark, capacity)
-                ends = ends + shard.total
-                doc = np.zeros(len(ends), bool)
-                doc[-1] = True
-                shard.total += len(ids)
-                for to, x in ((shard.ids, ids), (shard.ends, ends), (shard.is_doc, doc), (shard.inside, inside), (shard.doc_ids, doc_id), (shard.doc_ends, shard.total)):
-                    to.append(x)
-    if shard is not None and shard.total:
-        yield shard.windows(capacity, over, split, width, id_type)
+                shard.add(doc_id, ids, ends, inside, width)
+        batch = part = offsets = raw = None
+    if shard is not None:
+        yield from shard.windows(capacity, over, split, width, id_type)
+    shard = None
+    trim()
 
 
 def _part_starts(rows: DataFrame, shard_docs: int) -> tuple[list[tuple], list[int]]:
@@ -164,7 +177,7 @@ def _part_starts(rows: DataFrame, shard_docs: int) -> tuple[list[tuple], list[in
     sizes = {r.pid: r["count"] for r in sorted_.groupBy("pid").count().collect()}
     total = sum(sizes.values())
     step = shard_docs * max(1, -(-total // (shard_docs * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    offset = spark.createDataFrame([(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes], "pid int, base long")
+    offset = local_table(spark, [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes], pid=pa.int32(), base=pa.int64())
     ranked = sorted_.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy("id", "h")) - 1).join(F.broadcast(offset), "pid")
     starts = ranked.where((F.col("base") + F.col("r")) % step == 0).select("id", "h").distinct()
     # equal keys stay together, so a part begins where its first key does

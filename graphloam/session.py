@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +68,11 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A small table of the driver's, part of the plan; made of a list, it would take Python workers of its own in every executor."""
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], list(types)))
+
+
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that clash with no column of ``df``, in any case."""
     used = {c.lower() for c in df.columns}

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -464,6 +465,26 @@ def test_packing_awkward(spark, awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_holds_little_of_a_shard():
+    """Windows of a large shard come in small batches, and what it holds is a small multiple of its ids."""
+    tok = tokenizer()
+    text = " ".join(f"word{i % 911} goes on." for i in range(2000))
+    shard = pa.RecordBatch.from_arrays([pa.array([7] * 250), pa.array(range(250)), pa.array([text] * 250)], ["shard", "id", "text"])
+    pieces = [shard.slice(i, 10) for i in range(0, 250, 10)]
+    tracemalloc.start()
+    got, most = [], 0
+    for b in packing._pack(iter(pieces), packing.VOCAB, 2048, 4, 16, 50256):
+        most = max(most, b.nbytes)
+        got.extend(zip(b.column(1).to_pylist(), b.column(7).to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1] - sum(len(t) for _, t in got)
+    tracemalloc.stop()
+    assert [w for w, _ in got] == list(range(len(got)))
+    want = np.array([*tok.encoding.encode_ordinary(text), 50256] * 250, "<u2").tobytes()
+    assert b"".join(t for _, t in got) == want and len(want) > 5_000_000
+    assert most < 2 << 20
+    assert peak < 9 * len(want)
+
+
 # 8
 
 
@@ -511,6 +532,11 @@ def test_mixing_is_unbiased():
     assert np.abs(means - [15, 5]).max() < 0.5
 
 
+def test_mixing_tells_its_counts_without_python_workers(spark, docs):
+    """A table made of a list is an RDD of Python's: workers of a pool of their own, which stay in every executor."""
+    assert "ExistingRDD" not in mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_awkward(spark, awkward, empty):
     out = mixing.mix_sources(awkward, block_docs=1)
     assert out.columns == [*awkward.columns, "_shard", "position"]
