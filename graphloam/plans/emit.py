@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Graph
+from ..session import write_table
 
 
 def clip(text: Column, most: int) -> Column:
@@ -35,9 +36,10 @@ def mermaid_lines(g: Graph, most: int = 50) -> DataFrame:
     """(part, line) of a Mermaid flowchart; nodes are numbered n0, n1, ... by id, edge ends not among the nodes left out.
 
     The numbers come from a range sort: each range's rows are counted, and a row's number is the count before its range plus its place in it.
+    The ranges are written, since their bounds are sampled and come out otherwise where a plan runs again.
     """
     ids = g.nodes.select("id", "types")
-    ranged = ids.repartitionByRange("id").withColumn("p", F.spark_partition_id())
+    ranged = write_table(ids.repartitionByRange("id").withColumn("p", F.spark_partition_id()), "ranges")
     before = ranged.groupBy("p").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
     numbered = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1).join(before, "p").select("id", "types", F.concat(F.lit("n"), (F.col("base") + F.col("r")).cast("string")).alias("n"))
     nodes = numbered.select(F.lit(1).alias("part"), F.concat(F.lit("  "), "n", F.lit("["), mermaid_quote(clip(F.concat_ws(" ", _last(F.col("id")), F.array_join(F.transform("types", _last), ", ")), most)), F.lit("]")).alias("line"))

@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 from graphloam.operators import interp, merge, paths, select
+from graphloam.plans.emit import mermaid_lines
 from graphloam.plans.queries import ORACLE, QUERIES
 from graphloam.schema import ASSERTIONS, INTERP, NODES, Graph, GraphMergeError, IdConflictError
 from graphloam.sources import literate
@@ -230,3 +231,17 @@ def test_query_agrees_with_duckdb(spark, name):
     assert columns == sorted(got.columns)
     plain = lambda d: sorted(map(tuple, d[columns].astype(object).where(d[columns].notna(), None).astype(str).values.tolist()))
     assert plain(got) == plain(want)
+
+
+def test_diagram_numbers_are_places_in_order(spark):
+    """Over several sampled ranges too: their bounds come out otherwise when a plan runs again."""
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(0, 60_000, 1, 8).select(F.lit("g").alias("graph"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.expr("cast(array() as array<string>)").alias("types"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = [r.line for r in mermaid_lines(Graph(nodes, spark.createDataFrame([], ASSERTIONS)), most=80).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = sorted(r.id for r in nodes.collect())
+    assert sorted(lines) == sorted(f'  n{i}["{x} "]' for i, x in enumerate(ids))
