@@ -151,13 +151,29 @@ def write_number(number) -> str:
     return format(d, "f") if -25 < d.as_tuple().exponent <= 6 else str(d)
 
 
+def write_plain(number) -> str:
+    """The shortest exact decimal with no exponent, however large or small."""
+    text = write_number(number)
+    return format(Decimal(text), "f") if "E" in text else text
+
+
+def _rendered(values: pd.Series, write: Callable) -> pd.Series:
+    import re
+
+    good = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$", re.ASCII)
+    return values.map(lambda v: write(read_number(v)) if isinstance(v, str) and good.match(v) else None)
+
+
 @F.pandas_udf(T.StringType())
 def canonical_number(values: pd.Series) -> pd.Series:
     """Exact canonical form without bound on digits; null where it is no number."""
-    import re
+    return _rendered(values, write_number)
 
-    good = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$", re.ASCII)
-    return values.map(lambda v: write_number(read_number(v)) if isinstance(v, str) and good.match(v) else None)
+
+@F.pandas_udf(T.StringType())
+def plain_number(values: pd.Series) -> pd.Series:
+    """The canonical form, but in plain digits where that has an exponent."""
+    return _rendered(values, write_plain)
 
 
 def has_time(v: Column) -> Column:

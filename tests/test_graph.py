@@ -245,3 +245,25 @@ def test_diagram_numbers_are_places_in_order(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     ids = sorted(r.id for r in nodes.collect())
     assert sorted(lines) == sorted(f'  n{i}["{x} "]' for i, x in enumerate(ids))
+
+
+def test_round_numbers_in_plain_digits(spark):
+    values = ["300000.00e2", "12345678.000", "10000000.000", "-5e9", "1e-30", "7", "x"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(interp.plain_number("v")).collect()]
+    assert got == ["30000000", "12345678", "10000000", "-5000000000", "0." + "0" * 29 + "1", "7", None]
+    assert interp.write_number(Decimal("300000.00e2")) == "3E+7"
+
+
+def test_canonical_number_of_round_prices(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "orders":
+            rows = rows.withColumn("o_totalprice", F.lit(30_000_000).cast(rows.schema["o_totalprice"].dataType))
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = QUERIES["canonical_number"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE["canonical_number"]).df()
+    plain = lambda d: sorted(map(tuple, d[sorted(want.columns)].astype(str).values.tolist()))
+    assert plain(got) == plain(want)
