@@ -237,14 +237,14 @@ def test_diagram_numbers_are_places_in_order(spark):
     """Over several sampled ranges too: their bounds come out otherwise when a plan runs again."""
     from pyspark.sql import functions as F
 
-    nodes = spark.range(0, 60_000, 1, 8).select(F.lit("g").alias("graph"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.expr("cast(array() as array<string>)").alias("types"))
+    nodes = spark.range(0, 60_000, 1, 8).select(F.lit("g").alias("graph"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.array(F.sha2(F.col("id").cast("string"), 224)).alias("types"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        lines = [r.line for r in mermaid_lines(Graph(nodes, spark.createDataFrame([], ASSERTIONS)), most=80).collect()]
+        lines = [r.line for r in mermaid_lines(Graph(nodes, spark.createDataFrame([], ASSERTIONS)), most=160).collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    ids = sorted(r.id for r in nodes.collect())
-    assert sorted(lines) == sorted(f'  n{i}["{x} "]' for i, x in enumerate(ids))
+    found = sorted((r.id, r.types[0]) for r in nodes.collect())
+    assert sorted(lines) == sorted(f'  n{i}["{x} {t}"]' for i, (x, t) in enumerate(found))
 
 
 def test_round_numbers_in_plain_digits(spark):
@@ -267,3 +267,26 @@ def test_canonical_number_of_round_prices(spark, tmp_path):
     got, want = QUERIES["canonical_number"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE["canonical_number"]).df()
     plain = lambda d: sorted(map(tuple, d[sorted(want.columns)].astype(str).values.tolist()))
     assert plain(got) == plain(want)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_merging_takes_one_exchange(spark):
+    rows = [("a", None, "n", 0, "P", "l", "v", None, "i"), ("b", "a", "n", 1, "P", "m", "w", None, None), ("c", "b", "n", 2, "P", "k", "w", None, None), ("d", None, "n", 0, "P", "l", "v", None, None)]
+    g = graph(spark, rows)
+    assert exchanges(merge.merge(g).assertions) == 1 and nest(merge.merge(g)) == model(rows)
+    assert exchanges(merge.union(g, g).assertions) == 1 and nest(merge.union(g, g)) == model(rows)
+    assert exchanges(merge.with_hashes(g)) == 1 and merge.with_hashes(g).count() == 4
+
+
+def test_identified_rows_below_others(spark):
+    top = [("a", None, "n", 0, "P", "l", "v", None, "i"), ("b", None, "n", 0, "P", "l", "v", None, None), ("c", None, "n", 0, "P", "l", "w", None, None)]
+    said = lambda o, parent, value="x", interp=None: (o, parent, "n", 1, "P", "m", value, "id", interp)
+    assert nest(merge.merge(graph(spark, top + [said("d", "a"), said("e", "b")]))) == model(top + [said("d", "a"), said("e", "b")])
+    for pair in ((said("d", "a"), said("e", "c")), (said("d", "a"), said("e", "a", "y")), (said("d", "a", interp="p"), said("e", "b", interp="q")), (said("d", "a"), ("e", None, "n", 0, "P", "m", "x", "id", None))):
+        with pytest.raises(GraphMergeError):
+            merge.merge(graph(spark, top + list(pair)))
+    rival = [("f", None, "n", 0, "P", "l", "v", None, "j")]
+    assert len(nest(merge.merge(graph(spark, top + rival + [said("d", "b"), said("e", "a")])))["n"]) == 3  # b goes with what is below it
