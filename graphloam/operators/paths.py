@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Graph
-from ..session import drop_table, write_table
+from ..session import drop_table, meeting, write_small, write_table
 from .select import remove
 
-
 KEY = ["graph", "id"]
 
 
-def _rounds(hop: DataFrame, start: DataFrame, hops: int, seen: DataFrame) -> DataFrame:
-    """(graph, id) reached in 1 to ``hops`` steps, and ``seen``; each round is written so that lineage stays short, and removed in the end."""
-    frontier, visited, written = start, seen, []
+def _rounds(hop: DataFrame, start: DataFrame, hops: int, seen: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(graph, id) reached in 1 to ``hops`` steps, of ``known`` only where that is given, and ``seen``; each round is written so that lineage stays short, and removed in the end."""
+    frontier, visited = write_small(start, "frontier"), seen
+    written = [frontier]
     for _ in range(hops):
-        step = hop.join(frontier.select("graph", F.col("id").alias("source")), ["graph", "source"], "left_semi").select("graph", F.col("target").alias("id")).distinct()
-        found = write_table(step.join(visited, KEY, "left_anti"), "frontier")
-        written.append(found)
-        if found.isEmpty():
+        step = hop.join(frontier.select("graph", F.col("id").alias("source")), ["graph", "source"], "left_semi").select("graph", F.col("target").alias("id")).distinct().join(visited, KEY, "left_anti")
+        if known is not None:
+            step = write_small(step, "step")
+            written.append(step)
+            step = known.join(step, KEY, "left_semi").distinct()
+        frontier = write_small(step, "frontier")
+        written.append(frontier)
+        if frontier.isEmpty():
             break
-        frontier, visited = found, visited.unionByName(found)
-    out = write_table(visited, "reached")
+        visited = visited.unionByName(frontier)
+    out = write_small(visited, "reached")
     for table in written:
         drop_table(table)
     return out
@@ -38,9 +42,9 @@ def reachable(g: Graph, root: str, label: str, max_hops: int) -> DataFrame:
 
 def within(g: Graph, roots: DataFrame, hops: int) -> DataFrame:
     """(graph, id): the roots that exist and all nodes up to ``hops`` first-level edges away. ``roots`` has ``id``, in all graphs, or ``graph`` too."""
-    known = g.nodes.select(KEY).join(roots.select([c for c in KEY if c in roots.columns]).distinct(), [c for c in KEY if c in roots.columns], "left_semi").select(KEY).distinct()
-    edges = g.edge_hop.join(g.nodes.select("graph", F.col("id").alias("target")), ["graph", "target"], "left_semi")
-    return _rounds(edges, known, hops, known)
+    shared = [c for c in KEY if c in roots.columns]
+    known = write_small(g.nodes.select(KEY).join(write_small(roots.select(shared).distinct(), "roots"), shared, "left_semi").distinct(), "roots")
+    return _rounds(g.edge_hop, known, hops, known, g.nodes.select(KEY))
 
 
 def subgraph(g: Graph, roots: DataFrame, hops: int = 1) -> Graph:
@@ -56,12 +60,11 @@ def subgraph(g: Graph, roots: DataFrame, hops: int = 1) -> Graph:
 def restrict(g: Graph, types: list[str], labels: list[str] | None = None) -> Graph:
     """The nodes of any of the types with the assertions on them, but only those first-level edges whose targets are among them too."""
     nodes = g.nodes.where(F.arrays_overlap("types", F.array(*map(F.lit, types))))
-    ids = nodes.select(KEY).distinct()
-    rows = g.assertions.join(ids.withColumnRenamed("id", "root"), ["graph", "root"], "left_semi")
-    hops = g.edge_hop if labels is None else g.edge_hop.where(F.col("label").isin(labels))
-    inside = hops.join(ids.withColumnRenamed("id", "target"), ["graph", "target"], "left_semi").select("graph", "occ")
-    outside = g.edge_hop.select("graph", "occ").join(inside, ["graph", "occ"], "left_anti")
-    return remove(Graph(nodes, rows.select(g.assertions.columns)), outside)
+    ids = write_table(nodes.select(KEY).distinct(), "ids")
+    rows = write_table(meeting(g.assertions, ids.withColumnRenamed("id", "root"), ["graph", "root"]).select(g.assertions.columns), "restricted")
+    hops = rows.where("kind = 'E' and depth = 0").select("graph", "occ", "target", F.lit(True).alias("fits") if labels is None else F.coalesce(F.col("label").isin(labels), F.lit(False)).alias("fits"))
+    outside = hops.where("not fits").unionByName(hops.where("fits").join(ids.withColumnRenamed("id", "target"), ["graph", "target"], "left_anti"))
+    return remove(Graph(nodes, rows), outside.select("graph", "occ"))
 
 
 def path(g: Graph, labels: list[str], distinct: bool = True) -> DataFrame:

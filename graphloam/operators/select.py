@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph, IdConflictError
-from ..session import write_table
+from ..session import meeting, missing, write_table
 
 
 def select(g: Graph, origin=None, label=None, *, value=None, target=None, id=None, deep=False, parent=None, graph=None) -> DataFrame:
@@ -25,9 +25,10 @@ def select(g: Graph, origin=None, label=None, *, value=None, target=None, id=Non
 
 
 def annotations(g: Graph) -> DataFrame:
-    """(graph, parent_occ, annotations): each assertion's own properties, the greatest value where a label repeats."""
-    per_label = g.assertions.where("depth > 0 and kind = 'P'").groupBy("graph", "parent_occ", "label").agg(F.max("value").alias("value"))
-    return per_label.groupBy("graph", "parent_occ").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("annotations"))
+    """(graph, parent_occ, annotations): each assertion's own properties, the greatest value where a label repeats; in one exchange."""
+    said = g.assertions.where("depth > 0 and kind = 'P' and parent_occ is not null").groupBy("graph", "parent_occ").agg(F.array_sort(F.collect_list(F.struct("label", "value"))).alias("said"))
+    greatest = F.filter("said", lambda e, i: F.coalesce(F.get("said", i + 1)["label"] != e["label"], F.lit(True)))
+    return said.select("graph", "parent_occ", F.map_from_entries(greatest).alias("annotations"))
 
 
 def annotation_lists(g: Graph) -> DataFrame:
@@ -57,15 +58,19 @@ def typematch(g: Graph, types: list[str]) -> DataFrame:
 
 
 def remove(g: Graph, gone: DataFrame) -> Graph:
-    """The graph without the rows of ``gone`` (graph, occ) and everything below them, a level at a time."""
+    """The graph without the rows of ``gone`` (graph, occ) and everything below them, a level at a time.
+
+    What goes is written and, where it is little, broadcast; else a bitmap of it spares the other rows the shuffle.
+    """
     key = ["graph", "occ"]
-    left, lost = g.assertions, gone.select(key).distinct()
-    deepest = g.assertions.agg(F.max("depth")).first()[0] or 0
-    for _ in range(deepest + 1):
-        below = left.join(lost.withColumnRenamed("occ", "parent_occ"), ["graph", "parent_occ"], "left_semi").select(key)
-        left = left.join(lost, key, "left_anti")
-        lost = below
-    return Graph(g.nodes, left.select(g.assertions.columns))
+    gone = lost = write_table(gone.select(key).distinct(), "gone")
+    deepest = 0 if lost.isEmpty() else g.assertions.agg(F.max("depth")).first()[0] or 0
+    for _ in range(deepest):
+        lost = write_table(meeting(g.assertions.where("parent_occ is not null"), lost.withColumnRenamed("occ", "parent_occ"), ["graph", "parent_occ"]).select(key), "gone")
+        if lost.isEmpty():
+            break
+        gone = gone.unionByName(lost)
+    return Graph(g.nodes, missing(g.assertions, gone, key).select(g.assertions.columns))
 
 
 def remove_skeleton(g: Graph, origin: str, label: str, payload: str) -> Graph:
@@ -96,11 +101,16 @@ def _added(g: Graph, rows: DataFrame, kind: str) -> Graph:
     full = rows.select(*given, *(null.alias(c) for c in ("origin", "parent_occ", "id", "interp") if c not in given), *([] if "graph" in given else [F.lit(lone[0][0] if lone else None).cast("string").alias("graph")]))
     full = full.withColumn("occ", F.expr("uuid()"))
     full = write_table(full, "added")
-    parents = g.assertions.select("graph", F.col("occ").alias("parent_occ"), F.col("root").alias("above_root"), F.col("id").alias("above_id"), F.col("depth").alias("above"))
-    joined = full.join(parents, ["graph", "parent_occ"], "left")
+    above = F.lit(None).cast
+    if "parent_occ" in given:
+        parents = meeting(g.assertions.select("graph", F.col("occ").alias("parent_occ"), F.col("root").alias("above_root"), F.col("id").alias("above_id"), F.col("depth").alias("above")), full.where("parent_occ is not null"), ["graph", "parent_occ"])
+        joined = full.join(parents, ["graph", "parent_occ"], "left")
+    else:
+        joined = full.withColumns({"above_root": above("string"), "above_id": above("string"), "above": above("int")})
     if not joined.where("parent_occ is not null and above is null or parent_occ is null and origin is null").isEmpty():
         raise KeyError("an assertion needs a node or an assertion that exists")
-    register_ids(g, full.where("id is not null").select("graph", "id"))
+    if "id" in given:
+        register_ids(g, full.where("id is not null").select("graph", "id"))
     done = joined.select(
         "graph", "occ", "parent_occ", F.coalesce("above_root", "origin").alias("root"), F.coalesce(F.col("above") + 1, F.lit(0)).alias("depth"), F.lit(kind).alias("kind"), F.when(F.col("parent_occ").isNull(), F.col("origin")).otherwise(F.col("above_id")).alias("origin"), "label",
         (F.col("payload") if kind == "E" else null).alias("target"), (F.col("payload") if kind == "P" else null).alias("value"), "id", "interp",

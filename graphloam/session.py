@@ -9,6 +9,7 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "graphloam") -> SparkSession:
@@ -68,6 +69,49 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_small(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """:func:`write_table`, and to be broadcast where it has few rows: otherwise joins with it would shuffle the other side before its size is known."""
+    return _hinted(write_table(df, name), most)
+
+
+def _hinted(table: DataFrame, most: int = 200_000) -> DataFrame:
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+_BITS = 1 << 26
+
+
+def _place(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(_BITS))
+
+
+def _bitmap(right: DataFrame, keys: list[str]) -> DataFrame:
+    """(word_, bits_): the bits of the hashed keys of ``right``, at most a million words; with very many keys all are set and it spares nothing."""
+    at = right.select(_place(keys).alias("at"))
+    return F.broadcast(at.groupBy((F.col("at") / 64).cast("long").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits_")))
+
+
+def _hit(keys: list[str]):
+    return (F.col("word_") == (_place(keys) / 64).cast("long")) & (F.expr(f"shiftright(bits_, cast(pmod(xxhash64({', '.join(keys)}), {_BITS}L) % 64 as int)) & 1L") == 1)
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The left semi join with a written table: a small one is broadcast, else rows of ``left`` are shuffled only where a bitmap of the keys lets them through."""
+    right, all_right = _hinted(right), right
+    if right is not all_right:
+        return left.join(right, keys, "left_semi")
+    return left.join(_bitmap(right, keys), _hit(keys), "left_semi").join(right, keys, "left_semi")
+
+
+def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The left anti join likewise: what the bitmap has not is kept where it is."""
+    right, all_right = _hinted(right), right
+    if right is not all_right:
+        return left.join(right, keys, "left_anti")
+    bits = _bitmap(right, keys)
+    return left.join(bits, _hit(keys), "left_anti").unionByName(left.join(bits, _hit(keys), "left_semi").join(right, keys, "left_anti"))
+
+
 def local_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
     """A small table of the driver's, part of the plan; made of a list, it would take Python workers of its own in every executor."""
     return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], list(types)))

@@ -11,10 +11,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from graphloam.operators import interp, merge, paths, select
+from graphloam.operators import analytics, interp, merge, paths, select
 from graphloam.plans.emit import mermaid_lines
 from graphloam.plans.queries import ORACLE, QUERIES
-from graphloam.schema import ASSERTIONS, INTERP, NODES, Graph, GraphMergeError, IdConflictError
+from graphloam.schema import ASSERTIONS, INTERP, NODES, Graph, GraphMergeError, IdConflictError, structure_faults
+from graphloam.session import meeting, missing, write_table
 from graphloam.sources import literate
 from graphloam.sources.store import StoreError, open_store
 
@@ -290,3 +291,62 @@ def test_identified_rows_below_others(spark):
             merge.merge(graph(spark, top + list(pair)))
     rival = [("f", None, "n", 0, "P", "l", "v", None, "j")]
     assert len(nest(merge.merge(graph(spark, top + rival + [said("d", "b"), said("e", "a")])))["n"]) == 3  # b goes with what is below it
+
+
+def test_small_tables_leave_the_rest_in_place(spark):
+    rows = [("a", None, "n", 0, "E", "l", "m", None, None), ("b", "a", "n", 1, "P", "k", "w", None, None), ("c", None, "m", 0, "P", "l", "v", None, None)]
+    g = graph(spark, rows, ("n", "m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = select.remove(g, g.assertions.where("occ = 'a'")).assertions
+        near = paths.subgraph(g, spark.createDataFrame([("n",)], "id string"), 0).assertions
+        assert exchanges(left) == exchanges(near) == 0
+        assert [r.occ for r in left.collect()] == ["c"] and sorted(r.occ for r in near.collect()) == ["a", "b"]
+        assert exchanges(select.annotations(g)) == 1 and select.annotations(g).first().annotations == {"k": "w"}
+        assert exchanges(analytics.edges(g)) == 0 and analytics.edges(g).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bitmap_joins(spark):
+    right = write_table(spark.range(0, 600_000, 2).selectExpr("cast(id as string) as k"), "right")
+    left = spark.range(590_000, 610_000).selectExpr("cast(id as string) as k", "id as v").union(spark.createDataFrame([(None, 1)], "k string, v long"))
+    assert {r.v for r in meeting(left, right, ["k"]).collect()} == set(range(590_000, 600_000, 2))
+    assert sorted(r.v for r in missing(left, right, ["k"]).collect()) == [1, *sorted({*range(590_000, 610_000)} - {*range(590_000, 600_000, 2)})]
+
+
+def test_components_over_several_tasks(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(900)}", f"n{rng.randrange(900)}") for _ in range(500)]
+    least = {x: x for p in pairs for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(least[a], least[b])
+            changed |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    for parts in (1, 16):
+        got = analytics.connected_components(spark.createDataFrame(pairs, "source string, target string").repartition(parts))
+        assert {r.id: r.component for r in got.collect()} == least
+    chain = spark.range(0, 3000, 1, 1).selectExpr("format_string('%05d', id) as source", "format_string('%05d', id + 1) as target")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = analytics.connected_components(chain)
+    assert got.select("component").distinct().collect()[0][0] == "00000" and len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 12
+
+
+def test_faults_below_the_first_level(spark):
+    rows = [("a", None, "n", 0, "P", "l", "v", None, None), ("b", "a", "n", 1, "P", "l", "v", None, None), ("c", "b", "n", 1, "P", "l", "v", None, None), ("d", "x", "n", 1, "P", "l", "v", None, None), ("e", "a", "n", 2, "P", "l", "v", None, None), ("f", "b", "n", 2, "P", "l", "v", None, None)]
+    assert sorted(map(tuple, structure_faults(graph(spark, rows)).collect())) == [("c", "wrong depth"), ("d", "orphan"), ("e", "wrong depth")]
+    assert structure_faults(graph(spark, rows[:2])).count() == 0
+
+
+def test_pagerank_plain(spark):
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("a", "b")]
+    rank = dict.fromkeys("abcd", 0.25)
+    for _ in range(4):
+        outs = {s: [t for x, t in set(pairs) if x == s] for s in rank}
+        moved = sum(r for s, r in rank.items() if outs[s])
+        rank = {i: 0.15 / 4 + 0.85 * (1 - moved) / 4 + 0.85 * sum(rank[s] / len(ts) for s, ts in outs.items() if i in ts) for i in rank}
+    got = {r.id: r["rank"] for r in analytics.pagerank(spark.createDataFrame(pairs, "source string, target string"), 4).collect()}
+    assert got == pytest.approx(rank)
