@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import INTERP, Graph
-from ..session import drop_table, write_table
+from ..session import drop_table, meeting, missing, ship_package, write_table
 from .interp import DEFAULT, Registry, set_value
 from .select import annotations, remove
 
@@ -31,20 +34,26 @@ def typed_vertices(g: Graph, registry: Registry = DEFAULT) -> DataFrame:
     return g.nodes.join(attrs, ["graph", "id"], "left")
 
 
+def _to_assertions(g: Graph) -> DataFrame:
+    """(graph, target): the ids of assertions that first-level edges point at, written; ids and targets are made distinct before they are shuffled together."""
+    ids = g.assertions.where("id is not null").select("graph", F.col("id").alias("target"), F.lit(1).alias("named"), F.lit(0).alias("aimed"))
+    targets = g.edge_hop.where("target is not null").select("graph", "target", F.lit(0), F.lit(1))
+    both = ids.union(targets).groupBy("graph", "target").agg(F.max("named").alias("named"), F.max("aimed").alias("aimed"))
+    return write_table(both.where("named = 1 and aimed = 1").select("graph", "target"), "to-assertions")
+
+
 def edges(g: Graph, attributes: bool = False) -> DataFrame:
     """(graph, occ, source, target, label) of the first-level edges between nodes; those to assertions are left out, repeated ones stay.
 
     With ``attributes`` each has its own properties too, as :func:`annotations` gives them.
     """
-    named = g.assertions.where("id is not null").select("graph", F.col("id").alias("target")).distinct()
-    out = g.edge_hop.join(named, ["graph", "target"], "left_anti").select("graph", "occ", "source", "target", "label")
+    out = missing(g.edge_hop, _to_assertions(g), ["graph", "target"]).select("graph", "occ", "source", "target", "label")
     return out.join(annotations(g).withColumnRenamed("parent_occ", "occ"), ["graph", "occ"], "left") if attributes else out
 
 
 def skipped_edges(g: Graph) -> DataFrame:
     """(graph, n): how many first-level edges :func:`edges` leaves out, since an assertion is their target."""
-    named = g.assertions.where("id is not null").select("graph", F.col("id").alias("target")).distinct()
-    return g.edge_hop.join(named, ["graph", "target"], "left_semi").groupBy("graph").agg(F.count("*").alias("n"))
+    return meeting(g.edge_hop, _to_assertions(g), ["graph", "target"]).groupBy("graph").agg(F.count("*").alias("n"))
 
 
 def degree(g: Graph) -> DataFrame:
@@ -81,26 +90,93 @@ def top_by_value(g: Graph, label: str, k: int, interp: str = INTERP + "number",
 
 
 def pagerank(edge: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) by ``rounds`` of power iteration over distinct (source, target); what sinks hold is spread over all."""
-    e = write_table(edge.select("source", "target").distinct(), "pagerank-edges")
-    ids = write_table(e.select(F.col("source").alias("id")).union(e.select("target")).distinct(), "pagerank-nodes")
-    n = ids.count()
-    links = write_table(e.join(e.groupBy("source").agg(F.count("*").alias("out")), "source"), "pagerank-links")
-    rank = ids.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(rounds):
-        flow = links.join(rank.withColumnRenamed("id", "source"), "source")
-        got = flow.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        moved = flow.select("source", "rank").distinct().agg(F.sum("rank")).first()[0] or 0.0
-        before, rank = rank, write_table(ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / max(1, n) + damping * (1 - moved) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "pagerank")
-        if before.inputFiles() != ids.inputFiles():
+    """(id, rank) by ``rounds`` of power iteration over distinct (source, target); what sinks hold is spread over all.
+
+    The rounds know nodes by a number, their hash with the first salt that gives no two of them the same. Nodes carry their
+    number of edges, so that each round joins once and what moves is a sum over the nodes.
+    """
+    ids = write_table(edge.select(F.explode(F.array("source", "target")).alias("id")).where("id is not null").distinct(), "pagerank-ids")
+    salt, number = 0, None
+    while number is None or not ids.groupBy(number("id").alias("h")).count().where("count > 1").isEmpty():
+        salt += 1
+        number = lambda c, salt=salt: F.xxhash64(F.lit(salt), F.col(c))
+    links = write_table(edge.where("source is not null and target is not null").select(number("source").alias("s"), number("target").alias("t")).distinct(), "pagerank-links")
+    nodes = write_table(ids.select(number("id").alias("n")).join(links.groupBy(F.col("s").alias("n")).agg(F.count("*").alias("out")), "n", "left"), "pagerank-nodes")
+    n = nodes.count()
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    for i in range(rounds):
+        moved = rank.where("out is not null").agg(F.sum("rank")).first()[0] or 0.0
+        got = links.join(rank.select(F.col("n").alias("s"), (F.col("rank") / F.col("out")).alias("share")), "s").groupBy(F.col("t").alias("n")).agg(F.sum("share").alias("got"))
+        base = (1 - damping) / max(1, n) + damping * (1 - moved) / max(1, n)
+        before, rank = rank, write_table(nodes.join(got, "n", "left").select("n", "out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "pagerank")
+        if i:
             drop_table(before)
-    for table in (e, ids, links):
+    out = ids.withColumn("n", number("id")).join(rank, "n").select("id", "rank")
+    for table in (links, nodes):
         drop_table(table)
-    return rank
+    return out
+
+
+def local_components(source: pa.Array, target: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(id, component) over some edges: ids are numbered in their order, and every number takes the least that it is linked to until none changes."""
+    ends = pa.concat_arrays([source, target]).dictionary_encode()
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    s, t = np.split(rank[ends.indices.to_numpy()], 2)
+    label = np.arange(len(order))
+    while True:
+        a, b = label[s], label[t]
+        if (a == b).all():
+            break
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label != label[label]).any():
+            label = label[label]
+    ids = ends.dictionary.take(pa.array(order))
+    return ids, ids.take(pa.array(label))
+
+
+def _forest(edge: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(id, component) of each million edges of a task, alone."""
+    ship_package(edge.sparkSession)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                yield close(held)
+                held, n = [], 0
+        if n:
+            yield close(held)
+
+    def close(held):
+        both = (pa.concat_arrays([b.column(i).cast(pa.large_string()) for b in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in local_components(*both)], ["id", "component"])
+
+    return edge.select("source", "target").where("source is not null and target is not null").mapInArrow(run, "id string, component string")
 
 
 def connected_components(edge: DataFrame) -> DataFrame:
-    """(id, component): the least id that a path in any direction leads to; each round takes the least of the neighbours' labels and of the label's own label."""
+    """(id, component): the least id that a path in any direction leads to.
+
+    Every task settles the edges that it has, so that each node is shuffled once with its component there; where a node has several, these are joined in rounds.
+    """
+    held = write_table(_forest(edge).groupBy("id").agg(F.array_sort(F.collect_set("component")).alias("held")), "component-parts")
+    links = write_table(held.where("size(held) > 1").select(F.col("held")[0].alias("source"), F.explode("held").alias("target")).where("source <> target").distinct(), "component-links")
+    if links.isEmpty():
+        return held.select("id", F.col("held")[0].alias("component"))
+    joined = _component_rounds(links).select(F.col("id").alias("first"), "component")
+    found = held.select("id", F.col("held")[0].alias("first")).join(joined, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    drop_table(links)
+    return found
+
+
+def _component_rounds(edge: DataFrame) -> DataFrame:
+    """The same by rounds: each takes the least of the neighbours' labels and of the label's own label."""
     both = edge.select("source", "target").union(edge.select("target", "source")).distinct()
     both = write_table(both, "component-edges")
     label = write_table(both.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.col("id")).alias("component")), "components")
@@ -118,10 +194,11 @@ def connected_components(edge: DataFrame) -> DataFrame:
 
 def write_back(g: Graph, label: str, values: DataFrame, interp: str | None, replace: bool = True) -> Graph:
     """Results (id, value) or (graph, id, value) become properties of the nodes that exist, in place of earlier ones with the label and all that hangs on those; :func:`written` counts them."""
+    values = write_table(values.where("value is not null"), "values")
     if replace:
         key = [c for c in ("graph", "id") if c in values.columns]
         old = g.assertions.where((F.col("label") == label) & (F.col("depth") == 0) & (F.col("kind") == "P")).withColumn("id", F.col("root"))
-        g = remove(g, old.join(values.where("value is not null").select(key), key, "left_semi").select("graph", "occ"))
+        g = remove(g, old.join(values.select(key), key, "left_semi").select("graph", "occ"))
     return set_value(g, values, label, interp)
 
 
